@@ -9,8 +9,8 @@ certain; which way is drawn so that neither's expectation changes. Every partiti
 batches, leaves at most one undecided document per source, and those meet in a tree of fan-in ``FAN``. The last one of a
 source is drawn by its own probability, so a source misses its target by less than one document.
 
-Draws are hashes of the seed and the pair's ids, and every level is written before it is read, so a task that runs again
-after a loss can't decide differently.
+Draws are hashes of the seed and the pair's ids, documents are placed and sorted by content first, and every level is written
+before it is read: the same documents give the same mixture, and a task that runs again after a loss can't decide differently.
 
 Defined results
   * Source names agree without case and surrounding blanks; the output has the spelling of the target table. Documents of
@@ -175,8 +175,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame,
     rows = rows.join(F.broadcast(plan), "source").select("doc_id", "source", "tokens", "copies", "p")
     settled = (F.col("p") <= 0) | (F.col("tokens") <= 0)
     done = [rows.where(settled).select("doc_id", "source", "tokens", "copies")]
-    open_ = rows.where(~settled)
-    nodes = open_.rdd.getNumPartitions()
+    nodes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A placement by content, so that the same documents give the same mixture however the files lie.
+    open_ = rows.where(~settled).repartition(nodes, "doc_id", "tokens").sortWithinPartitions("source", "doc_id", "tokens", "p")
     level, final = 0, False
     while not final:
         final = nodes <= 1
