@@ -23,6 +23,9 @@ Defined results
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,19 +46,22 @@ PRIOR_MEAN, PRIOR_SLOPE, PRIOR_RANK = 10.0, 160.0, 5.0
 #: Ratings further than this from the first fit are left out of the second.
 FAR_OFF = 4.0
 
-_TIMING = r"(?m)^[^\n>]*\d[^\n>]*--?>[^\n]*$"
+#: A line of times in small letters: digits, what stands for them after character recognition, separators, an arrow.
+_TIMING = r"(?m)^[\d:.,;oli \t\ufeffï»¿]*+-{1,2}>[^\n]*$"
 _BREAK = "\u001e"
 _ADVERT = (
     r"https?:|www\.|\w\.(?:example|invalid|com|net|org|info|tv|io)\b"
     r"|\b(?:subtitles?|captions?|captioning|subbed|synced|corrected|encoded|ripped|sponsored|translated|timed)\b[^\n]{0,40}\bby\b"
     r"|\bremove all ads\b|\bvip member\b"
 )
+#: Every advert has one of these; the whole pattern is tried only where one is found.
+_ADVERT_SIGN = r"\.(?:example|invalid|com|net|org|info|tv|io)\b|http|www\.| by\b| ads|vip "
 _NOTE = r"(?:♪|♫|#|\?|�)"
 _SOUND = (
     r"\[[^\]\x1e]*\]|\([^)\x1e]*\)|\{[^}\x1e]*\}|<[^>\x1e]*>|\*[^*\n\x1e]*\*"
     rf"|(?m:^[ \t-]*{_NOTE}(?: [^\n\x1e]*)? {_NOTE}\s*$)"
 )
-_LABEL = r"(?m)^[\s\-–—\"“”«‘']*\p{L}[\p{L}'’. ]{0,24}:\s"
+_LABEL = r"(?m)^[\s\-–—\"“”«‘']*+\p{L}[\p{L}'’. ]{0,24}+:\s"
 _WORD = r"\p{L}+(?:['’]\p{L}+)*"
 _VOWEL = "aeiouyàáâãäåæèéêëìíîïòóôõöùúûüœ"
 _CLOSE = r"(?=[\s\x1e\"”’»')\]]|$)"
@@ -86,22 +92,31 @@ def _repaired(text: Column) -> Column:
     return F.when(text.rlike("[ÃÂâÎΓ├┬][^a-zA-Z\\s]"), fixed).otherwise(text)
 
 
+_GROUPS = re.compile(f"[{_VOWEL}]+")
+
+
+@functools.lru_cache(1 << 17)
+def syllables(word: str) -> int:
+    """Groups of vowels, without a silent e at the end; at least one."""
+    n = len(_GROUPS.findall(word))
+    return max(1, n - (n > 1 and word[-1] == "e" and word[-2] not in _VOWEL + "l"))
+
+
 def language(c: Column | str) -> Column:
     return F.coalesce(F.nullif(F.substring(F.lower(F.trim(c)), 1, 2), F.lit("un")), F.lit("un"))
 
 
 def spoken(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, lang, words, n_words, n_sentences, n_syllables), written once; ``row`` tells rows apart."""
+    """(row, doc_id, tag, lang, words, n_words, n_sentences), written once; ``row`` tells rows apart."""
     low = F.lower(_repaired(F.coalesce("text", F.lit(""))))
-    cues = F.filter(F.split(low, _TIMING), lambda c: ~c.rlike(_ADVERT))
+    cues = F.filter(F.split(low, _TIMING), lambda c: ~(c.rlike(_ADVERT_SIGN) & c.rlike(_ADVERT)))
     said = F.regexp_replace(F.concat_ws(f"{_BREAK}\n", cues), _SOUND, " ")
     said = F.regexp_replace(said, _LABEL, " ")
     marks = F.regexp_count("said", F.lit(rf"[.!?…]+{_CLOSE}"))
     firm = F.regexp_count("said", F.lit(rf"[.!…]+{_CLOSE}"))
-    open_ = F.right("said", F.lit(400)).rlike(r"\p{L}[^.!?…]*$").cast("int")
+    open_ = F.right("said", F.lit(400)).rlike(r"\p{L}[^.!?…\p{L}]*+$").cast("int")
     cued = F.regexp_count("said", F.lit(r"(?:^|\x1e)[^\x1e\p{L}]*\p{L}"))
     n = F.size("words")
-    silent = F.regexp_count("said", F.lit(rf"[{_VOWEL}]\p{{L}}*[^{_VOWEL}l\P{{L}}]e(?!\p{{L}})"))
     table = (
         docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("lang").alias("tag"), language("lang").alias("lang"), said.alias("said"))
         .withColumn("words", F.regexp_extract_all("said", F.lit(_WORD), F.lit(0)))
@@ -113,7 +128,6 @@ def spoken(docs: DataFrame) -> DataFrame:
             "words",
             n.alias("n_words"),
             F.when(firm * 100 < n, cued).otherwise(F.greatest(marks + open_, F.lit(1))).alias("n_sentences"),
-            F.greatest(F.regexp_count("said", F.lit(f"[{_VOWEL}]+")) - silent, n).alias("n_syllables"),
         )
     )
     return materialize(table, "spoken")
@@ -142,14 +156,18 @@ def _needed(n: Column) -> Column:
 
 
 def coverage(said: DataFrame, vocab: DataFrame) -> DataFrame:
-    """said with ``coverage_rank``, without the words."""
+    """said with ``coverage_rank`` and ``n_syllables``, without the words."""
     total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     known = _frequent(vocab, total)
     rare = 1 << 40
 
-    @F.arrow_udf("rank bigint, known bigint")
+    @F.arrow_udf("rank bigint, known bigint, syllables bigint")
     def covered(words: pa.Array, lang: pa.Array, needed: pa.Array) -> pa.Array:
         rank, frequent = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        coded = words.flatten().dictionary_encode()
+        spoken_ = np.array([0, *map(syllables, coded.dictionary.to_pylist())], np.int64)
+        spoken_ = np.append(0, np.cumsum(spoken_[coded.indices.to_numpy() + 1]))
+        ends = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)))
         for code in pc.unique(lang).to_pylist():
             at = np.flatnonzero(pc.equal(lang, code).to_numpy(zero_copy_only=False))
             own = words.take(pa.array(at))
@@ -164,11 +182,12 @@ def coverage(said: DataFrame, vocab: DataFrame) -> DataFrame:
             some = np.flatnonzero(size)
             rank[at[some]] = r[begin[some] + needed.take(pa.array(at[some])).to_numpy() - 1]
         rank = np.where(rank >= rare, -2, rank)
-        return pa.StructArray.from_arrays([pa.array(rank), pa.array(frequent)], ["rank", "known"])
+        columns = [pa.array(rank), pa.array(frequent), pa.array(spoken_[ends[1:]] - spoken_[ends[:-1]])]
+        return pa.StructArray.from_arrays(columns, ["rank", "known", "syllables"])
 
     first = materialize(
         said.withColumn("needed", _needed(F.col("n_words"))).withColumn("c", covered("words", "lang", "needed")).select(
-            "row", "doc_id", "tag", "lang", "n_words", "n_sentences", "n_syllables", "needed", "c.rank", "c.known"
+            "row", "doc_id", "tag", "lang", "n_words", "n_sentences", "needed", "c.rank", "c.known", F.col("c.syllables").alias("n_syllables"),
         ),
         "coverage",
     )
@@ -182,7 +201,8 @@ def coverage(said: DataFrame, vocab: DataFrame) -> DataFrame:
     above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     steps = steps.select("lang", "n", F.sum("words").over(above).alias("rank"))
     ranks = vocab.where(F.col("n") * FREQUENT < total).join(broadcast_if_small(steps), ["lang", "n"]).select("lang", "word", "rank")
-    words = said.join(late.select("row", "needed", "known"), "row").select("row", "lang", "needed", "known", F.explode("words").alias("word"))
+    asked = broadcast_if_small(late.select("row", "needed", "known"))
+    words = said.join(asked, "row").select("row", "lang", "needed", "known", F.explode("words").alias("word"))
     at = F.row_number().over(Window.partitionBy("row").orderBy("rank"))
     found = words.join(ranks, ["lang", "word"]).withColumn("at", at).where(F.col("at") == F.col("needed") - F.col("known"))
     late = late.select(*columns).join(found.select("row", F.col("rank").alias("coverage_rank")), "row").select(*columns, "coverage_rank")
