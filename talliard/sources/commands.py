@@ -15,19 +15,23 @@ def _units(c: str):
     return to_mem(F.col(c).cast("decimal(18,4)"))
 
 
-def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_commands(events: DataFrame) -> DataFrame:
     """Purchases debit five times their value, everything else credits it."""
     sign = F.when(F.col("event_type") == "purchase", -5).otherwise(1)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("E-"), "event_id").alias("tx_id"), "user_id", (sign * _units("value")).alias("amount")
     )
 
 
+def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_commands(table(spark, sf_dir, "events"))
+
+
 def with_retries(commands: DataFrame) -> DataFrame:
     """Every fifth command once more at the end, under the same identifier."""
-    shift = commands.agg((F.max("seq") + 1).alias("shift"))
-    again = commands.where("seq % 5 = 0").join(F.broadcast(shift), F.lit(True))  # one row
-    return commands.unionByName(again.select((F.col("seq") + F.col("shift")).alias("seq"), "tx_id", "user_id", "amount"))
+    last = commands.agg(F.max("seq")).head()[0] or 0
+    again = commands.where("seq % 5 = 0").select((F.col("seq") + last + 1).alias("seq"), "tx_id", "user_id", "amount")
+    return commands.unionByName(again)
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
