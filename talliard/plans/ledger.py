@@ -371,7 +371,8 @@ def _hrw(key: str, n: int, salt: str = "") -> str:
 
 _KEY = "coalesce(cast(user_id as varchar), 'null')"
 _USERS = f"(select distinct {_KEY} as key from events)"
-_WAL = f"""(select partition, row_number() over (partition by partition order by seq) - 1 as wal_index, seq, tx_id, user_id, amount
+# A count: with row_number() here, the SQL engine gave a wrong page for a filter with a descending limit.
+_WAL = f"""(select partition, count(*) over (partition by partition order by seq rows unbounded preceding) - 1 as wal_index, seq, tx_id, user_id, amount
   from (select *, {_modulo(_KEY, PARTITIONS)} as partition from ({_EVENTS})))"""
 _JSON = """'{"tx_id":"' || tx_id || '","amount":' || amount || ',"user_id":' || user_id || '}'"""
 
