@@ -39,8 +39,8 @@ from talliard.workspace import broadcast_if_small, materialize
 SHARE = 0.9
 #: A word is frequent if it is at least one in so many of all words.
 FREQUENT = 200_000
-#: The scale's end: what lies above isn't told apart.
-TOP = 16.0
+#: The scale's end: school has twelve grades, and what demands more isn't told apart.
+TOP = 13.0
 #: Weight of the published scale, as the squared spread of the ratings that would balance it.
 PRIOR_MEAN, PRIOR_SLOPE, PRIOR_RANK = 10.0, 160.0, 5.0
 #: Ratings further than this from the first fit are left out of the second.
@@ -52,10 +52,10 @@ _BREAK = "\u001e"
 _ADVERT = (
     r"https?:|www\.|\w\.(?:example|invalid|com|net|org|info|tv|io)\b"
     r"|\b(?:subtitles?|captions?|captioning|subbed|synced|corrected|encoded|ripped|sponsored|translated|timed)\b[^\n]{0,40}\bby\b"
-    r"|\bremove all ads\b|\bvip member\b"
+    r"|\bremove all ads\b|\bvip member\b|(?m:^[ \t]*[-=~]{2}[^\n]*[-=~]{2}\s*$)"
 )
 #: Every advert has one of these; the whole pattern is tried only where one is found.
-_ADVERT_SIGN = r"\.(?:example|invalid|com|net|org|info|tv|io)\b|http|www\.| by\b| ads|vip "
+_ADVERT_SIGN = r"\.(?:example|invalid|com|net|org|info|tv|io)\b|http|www\.| by\b| ads|vip |[-=~]{2}"
 _NOTE = r"(?:♪|♫|#|\?|�)"
 _SOUND = (
     r"\[[^\]\x1e]*\]|\([^)\x1e]*\)|\{[^}\x1e]*\}|<[^>\x1e]*>|\*[^*\n\x1e]*\*"
@@ -67,19 +67,19 @@ _VOWEL = "aeiouyàáâãäåæèéêëìíîïòóôõöùúûüœ"
 _CLOSE = r"(?=[\s\x1e\"”’»')\]]|$)"
 
 
+def _misread(text: str, code: str) -> str:
+    """The UTF-8 bytes of text in a one-byte encoding; bytes without a meaning there stand for themselves."""
+    return "".join(bytes([b]).decode(code, "ignore") or chr(b) for b in text.encode())
+
+
 def _garbled() -> list[tuple[str, str]]:
-    """(wrong, right) for common characters whose UTF-8 bytes were read, once or twice, in a one-byte encoding."""
-    right = [*"’‘“”…–—♪♫«»¿¡", *map(chr, range(0xC0, 0x180))]
+    """(wrong, right) for common characters that were misread once or twice, longest first."""
+    right = "’‘“”…–—♪♫«»¿¡éèêëàâäáíóúñçöüßôîïû"
     pairs = {}
     for code in ("cp1252", "cp437", "latin-1"):
         for c in right:
-            wrong = c
-            for _ in range(2):
-                try:
-                    wrong = wrong.encode("utf-8").decode(code)
-                except UnicodeDecodeError:
-                    break
-                pairs.setdefault(wrong, c)
+            once = _misread(c, code)
+            pairs |= {once: c, _misread(once, code): c}
     return sorted(pairs.items(), key=lambda p: -len(p[0]))
 
 
@@ -87,8 +87,7 @@ def _repaired(text: Column) -> Column:
     """text with wrong decodings undone; only texts that show the marks of one are touched."""
     fixed = text
     for wrong, c in _garbled():
-        if c in "’‘“”…–—♪♫éèêëàâäáíóúñçöüßôîïû":
-            fixed = F.replace(fixed, F.lit(wrong), F.lit(c))
+        fixed = F.replace(fixed, F.lit(wrong), F.lit(c))
     return F.when(text.rlike("[ÃÂâÎΓ├┬][^a-zA-Z\\s]"), fixed).otherwise(text)
 
 

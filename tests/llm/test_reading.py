@@ -23,7 +23,8 @@ def docs(spark, texts, lang="en"):
 def test_dialogue(spark):
     texts = [
         "1\n00:00:01,000 --> 00:00:02,000\nZEB: The <i>dog</i>\nruns.\n\n2\n00:00:03,000 --> 00:00:04,000\n[DOOR SLAMS]\n\n3\nO0:0l:05.5 -> 00:01:06.5\nSubtitles by someone\n\n4\n0:00:07,1-->0:00:08,2\n- It isn't far!",
-        "WEBVTT\n\n00:01.000 --> 00:02.000\nDonâ€™t goâ€¦\n\n00:02.000 --> 00:03.000\n♪ la la ♪\n\n00:03.000 --> 00:04.000\nget it at www.x.example now",
+        "WEBVTT\n\n00:01.000 --> 00:02.000\nDonâ€™t goâ€¦\n\n00:02.000 --> 00:03.000\n♪ la la ♪\n\n00:03.000 --> 00:04.000\nget it at www.x.example now\n\n00:05.000 --> 00:06.000\n== x presents ==",
+        "1\n00:00:01,000 --> 00:00:02,000\nâ€œStop.â€\x9d\n\n2\n00:00:03,000 --> 00:00:04,000\nΓÇ£Now.ΓÇ¥ Ã¢â‚¬Å“So.\n",
         "1\n00:00:01,000 --> 00:00:02,000\nno marks here\n\n2\n00:00:03,000 --> 00:00:04,000\nnone there\n",
         None,
         "",
@@ -32,8 +33,9 @@ def test_dialogue(spark):
     rows = spoken(docs(spark, texts)).orderBy("doc_id").collect()
     assert rows[0]["words"] == ["the", "dog", "runs", "it", "isn't", "far"] and rows[0]["n_sentences"] == 2
     assert rows[1]["words"][-2:] == ["don’t", "go"] and rows[1]["n_sentences"] == 1
-    assert rows[2]["n_words"] == 5 and rows[2]["n_sentences"] == 2
-    assert [r["n_words"] for r in rows[3:]] == [0, 0, 0]
+    assert rows[2]["words"] == ["stop", "now", "so"] and rows[2]["n_sentences"] == 3
+    assert rows[3]["n_words"] == 5 and rows[3]["n_sentences"] == 2
+    assert [r["n_words"] for r in rows[4:]] == [0, 0, 0]
 
 
 def test_long_text_and_syllables(spark):
