@@ -38,8 +38,8 @@ from pyspark.sql.window import Window
 from talliard.sources.tables import is_id
 from talliard.workspace import VersionLog, release
 
-#: Order values per chunk: 2**20 rows are about a file's worth, and the losers of a chunk take at most 128 KB as bits.
-CHUNK_BITS = 20
+#: Order values per chunk: 2**18 rows are some tens of MB to sort, and the losers of a chunk take at most 32 KB as bits.
+CHUNK_BITS = 18
 #: Bits in one of Spark's bitmaps.
 BITMAP = 32768
 
