@@ -36,7 +36,7 @@ class Wal:
             starts = self.spark.createDataFrame(list(following.items()), "partition INT, start BIGINT")
             rows = rows.join(broadcast_if_small(starts), "partition", "left")
             rows = rows.withColumn("wal_index", F.col("wal_index") + F.coalesce("start", F.lit(0))).drop("start")
-        at = f"{self.path}/segments/{version + 1:010d}-{uuid.uuid4().hex[:8]}"
+        at = f"{self.path}/segments/segment={version + 1:010d}-{uuid.uuid4().hex[:8]}"
         rows.select("wal_index", "seq", "tx_id", "user_id", "amount", "partition").write.partitionBy("partition").parquet(at)
         ends = self.spark.read.schema(RECORD).parquet(at).groupBy("partition").agg(F.max("wal_index") + 1).collect()  # one per log
         self.log.publish(version + 1, {"segments": [*state.get("segments", []), at], "next": {**following, **dict(map(tuple, ends))}})
@@ -44,10 +44,11 @@ class Wal:
     def scan(self, start: int | None = None, partition: int | None = None) -> DataFrame:
         """All records from position ``start`` on (inclusive); partition and position reach the files as filters."""
         segments = self.log.current()[1].get("segments", [])
-        parts = [self.spark.read.schema(RECORD).parquet(s) for s in segments] or [self.spark.createDataFrame([], RECORD)]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        if segments:
+            reader = self.spark.read.schema(RECORD).option("basePath", f"{self.path}/segments")
+            rows = reader.parquet(*segments).select(*self.spark.createDataFrame([], RECORD).columns)
+        else:
+            rows = self.spark.createDataFrame([], RECORD)
         if partition is not None:
             rows = rows.where(F.col("partition") == partition)
         return rows if start is None else rows.where(F.col("wal_index") >= start)

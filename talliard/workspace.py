@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import io
 import json
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +69,29 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once per application: they needn't have it installed, nor run
+    where the driver runs."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    at = f"{fresh_dir(spark, 'package')}.zip"
+    file = spark._jvm.org.apache.hadoop.fs.Path(at)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, False)
+    stream.write(bytearray(raw.getvalue()))
+    stream.close()
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
+
+
 class VersionLog:
     """A directory of numbered JSON manifests. The newest one is the state of a table; publishing is one rename that
     fails if the number is taken, so a crash before it leaves no trace and two writers can't both succeed."""
@@ -120,4 +146,4 @@ class VersionLog:
         where.getFileSystem(self._conf).delete(where, True)
 
 
-__all__ = ["VersionLog", "broadcast_if_small", "fresh_dir", "materialize", "release", "shared_dir"]
+__all__ = ["VersionLog", "broadcast_if_small", "fresh_dir", "materialize", "release", "shared_dir", "ship"]
