@@ -2,8 +2,8 @@
 
 Each partition is reduced to a Misra-Gries summary of at most ``counters`` values: batches are counted exactly, added to
 the summary, and when more counters remain than allowed, the largest one that has no place is subtracted from all and
-those that reach zero go. Summaries merge by the same step, in a tree of fan-in ``FAN``, so no task and never the driver
-holds more than FAN summaries. The decrement step loses at most (N - sum of counters) / (counters + 1) rows of any value;
+those that reach zero go. Summaries merge by the same step: first into as many as there are shuffle partitions, then in a tree
+of fan-in ``FAN``. A task holds a few times ``counters`` values at any moment, and the driver none. The decrement step loses at most (N - sum of counters) / (counters + 1) rows of any value;
 hence every value with more rows than that is among the counters.
 
 Defined results
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from talliard.workspace import materialize
 
-#: Summaries merged by one task.
+#: Summaries merged by one task of the tree.
 FAN = 64
 _SCHEMA = "node BIGINT, value STRING, n BIGINT, total BIGINT"
 
@@ -83,11 +83,13 @@ def summary(df: DataFrame, column: str, counters: int) -> DataFrame:
     non-null rows."""
     values = df.select(F.col(column).cast("string").alias("value"))
     level = values.mapInArrow(lambda it: _merge(it, counters, True), _SCHEMA)
-    nodes = values.rdd.getNumPartitions()
-    while nodes > 1:
+    # A task merges any number of summaries in the memory of a few; the tree is there to keep the merging parallel.
+    nodes = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        level = level.repartition(nodes, F.pmod("node", F.lit(nodes))).mapInArrow(lambda it: _merge(it, counters, False), _SCHEMA)
+        if nodes == 1:
+            break
         nodes = math.ceil(nodes / FAN)
-        level = level.repartition(nodes, F.floor(F.col("node") / FAN))
-        level = level.mapInArrow(lambda it: _merge(it, counters, False), _SCHEMA)
     return level.select("value", "n", "total")
 
 
