@@ -6,13 +6,16 @@ Inside a micro-batch commands are taken in the order of ``seq``; across batches
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from talliard.codes import ACCEPTED, DUPLICATE, INVALID, REJECTED, STATUS_CODE
+from talliard.operators import fold
 from talliard.operators.fold import JOURNAL, Reject, wallet
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,6 +66,9 @@ class LedgerProcessor(StatefulProcessor):
 def streaming_journal(commands: DataFrame, processor: Callable = wallet, remember_ms: int | None = None) -> DataFrame:
     """The journal of a stream of commands (seq, tx_id, user_id, amount)."""
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # Spark starts this processor once beside the driver, without the files sent to Python workers: send it by value.
+    for module in (fold, sys.modules[__name__]):
+        cloudpickle.register_pickle_by_value(module)
     return commands.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=LedgerProcessor(processor, remember_ms),
         outputStructType=JOURNAL,
