@@ -131,7 +131,7 @@ class MessageStore:
             parts[p] = parts.get(p, []) + [at]
         index = state["index"]
         if written:
-            self._index(incoming, segment, hurt)
+            self._index(incoming, segment)
             index = index + [f"index/{segment}"]
         self.log.publish(
             number,
@@ -145,6 +145,30 @@ class MessageStore:
         )
         release(self.spark)
 
+    def vacuum(self) -> int:
+        """Deletes what the newest version doesn't name: files of rewritten partitions, and what failed ingests left. For
+        quiet times only: older readers and a running ingest lose their files. Returns how many folders went."""
+        state = self._state()
+        live = {p for paths in state["parts"].values() for p in paths}
+        live |= {*state["index"], *state["removed"], *state["unranked"]}
+        gone = 0
+        for kind in ("data", "index", "removed", "unranked", "work"):
+            for segment in self._folders(kind):
+                inner = [f"{segment}/{n}" for n in self._names(segment)] if kind == "data" else [segment]
+                for dead in (p for p in inner if p not in live):
+                    self.log.delete(f"{self.path}/{dead}")
+                    gone += 1
+        return gone
+
+    def _names(self, at: str) -> list[str]:
+        where = self.log._fs.Path(f"{self.path}/{at}")
+        fs = where.getFileSystem(self.log._conf)
+        found = fs.listStatus(where) if fs.exists(where) else []
+        return [s.getPath().getName() for s in found if s.isDirectory()]
+
+    def _folders(self, kind: str) -> list[str]:
+        return [f"{kind}/{n}" for n in self._names(kind)]
+
     def _held(self, state: dict, new: DataFrame, segment: str) -> DataFrame | None:
         """The copies that affected historical partitions hold of incoming identifiers."""
         index = self.spark.read.schema("h BIGINT, part STRING").parquet(*[f"{self.path}/{p}" for p in state["index"]])
@@ -191,12 +215,10 @@ class MessageStore:
         return joined.withColumn("__t_n", n).where("__t_n = 1 OR NOT __t_id").select(*names, "__t_part")
 
     def _written(self, at: str) -> dict[str, str]:
-        where = self.log._fs.Path(f"{self.path}/{at}")
-        found = where.getFileSystem(self.log._conf).listStatus(where)
-        names = [s.getPath().getName() for s in found if s.isDirectory()]
+        names = self._names(at)
         return {n.partition("=")[2]: f"{at}/{n}" for n in names if "=" in n}
 
-    def _index(self, incoming: DataFrame, segment: str, hurt: list[str]) -> None:
+    def _index(self, incoming: DataFrame, segment: str) -> None:
         """Index of the segment's rows. Rows of rewritten partitions are listed again: their entries are the same, and
         entries of removed copies remain true of the partition that now holds the winner or only cost a look-up."""
         rows = self.spark.read.schema(incoming.schema).parquet(*[f"{self.path}/{p}" for p in self._written(f"data/{segment}").values()])

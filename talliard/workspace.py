@@ -40,8 +40,19 @@ def _remove_local(at: str) -> None:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses; the first write creates it."""
-    return f"{shared_dir(spark)}/talliard/{name}-{uuid.uuid4().hex}"
+    """A path below the application's part of the shared folder that nothing else uses; the first write creates it."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/talliard/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application wrote for itself below the shared folder. Results that are still to be read go too."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+    _shipped.discard(spark.sparkContext.applicationId)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -146,4 +157,4 @@ class VersionLog:
         where.getFileSystem(self._conf).delete(where, True)
 
 
-__all__ = ["VersionLog", "broadcast_if_small", "fresh_dir", "materialize", "release", "shared_dir", "ship"]
+__all__ = ["VersionLog", "broadcast_if_small", "clean", "fresh_dir", "materialize", "release", "shared_dir", "ship"]
