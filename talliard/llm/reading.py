@@ -9,7 +9,9 @@
    without sentence marks has one sentence per cue.
 4. Calibration: a ridge regression, in SQL, of the readers' ratings (median per document) on the complexity grade and the
    logarithm of the coverage rank. It starts from the published scale and moves off it only as far as ratings demand; one
-   refit without ratings that lie far off the first fit keeps single readers' slips out.
+   refit without ratings that lie far off the first fit keeps single readers' slips out. Above ``TOP`` readers go on telling
+   documents apart, but in smaller steps than the published scale; there the grade rises with a slope of its own, fitted to
+   what the line below leaves over and never less than ``LEAST_STEEP``.
 
 Frequent words (at least one in ``FREQUENT`` of all words, hence at most FREQUENT words) are sent to all executors, and a
 document whose share is covered by them is done there and then. For the rest, and only for their rare words, ranks are
@@ -39,10 +41,12 @@ from talliard.workspace import broadcast_if_small, materialize
 SHARE = 0.9
 #: A word is frequent if it is at least one in so many of all words.
 FREQUENT = 200_000
-#: The scale's end: school has twelve grades, and what demands more isn't told apart.
+#: School has twelve grades; what demands more rises with a slope of its own.
 TOP = 13.0
+#: Lowest slope above TOP: a more complex document always gets the higher grade, whatever the ratings say.
+LEAST_STEEP = 0.02
 #: Weight of the published scale, as the squared spread of the ratings that would balance it.
-PRIOR_MEAN, PRIOR_SLOPE, PRIOR_RANK = 10.0, 160.0, 5.0
+PRIOR_MEAN, PRIOR_SLOPE, PRIOR_RANK, PRIOR_STEEP = 10.0, 160.0, 5.0, 10.0
 #: Ratings further than this from the first fit are left out of the second.
 FAR_OFF = 4.0
 
@@ -209,9 +213,9 @@ def coverage(said: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def complexity() -> Column:
-    """The published school-grade formula, of words per sentence and syllables per word, up to TOP."""
+    """The published school-grade formula, of words per sentence and syllables per word."""
     grade = 0.39 * F.col("n_words") / F.col("n_sentences") + 11.8 * F.col("n_syllables") / F.col("n_words") - 15.59
-    return F.when(F.col("n_words") > 0, F.least(grade, F.lit(TOP)))
+    return F.when(F.col("n_words") > 0, grade)
 
 
 def calibrate(rated: DataFrame) -> DataFrame:
@@ -235,27 +239,38 @@ def calibrate(rated: DataFrame) -> DataFrame:
     )
 
 
-def _grade(fit) -> Column:
+def _line(fit) -> Column:
     x1, x2 = F.col("x1"), F.col("x2")
     return x1 + fit["base"] + fit["b1"] * (x1 - fit["m1"]) + fit["b2"] * (x2 - fit["m2"])
 
 
+def _fitted(rated: DataFrame) -> Column:
+    """The grade as an expression of x1 (the published scale up to TOP), x2 and x3 (the rest above TOP), fitted to ``rated``."""
+    line = _line(calibrate(rated).head())
+    x3 = F.col("x3")
+    up, across = F.sum((F.col("rating") - line) * x3), F.sum(x3 * x3)
+    steep = (F.coalesce(up, F.lit(0.0)) + PRIOR_STEEP) / (F.coalesce(across, F.lit(0.0)) + PRIOR_STEEP)
+    return line + rated.agg(F.greatest(steep, F.lit(LEAST_STEEP))).head()[0] * x3
+
+
 def reading_levels(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     """(doc_id, lang, n_words, words_per_sentence, syllables_per_word, coverage_rank, grade) of each row of ``docs`` (doc_id,
     text, lang). ``ratings``: doc_id, grade."""
     said = spoken(docs)
     levels = coverage(said, materialize(vocabulary(said), "vocabulary"))
-    levels = materialize(levels.withColumn("x1", complexity()).withColumn("x2", F.log(F.col("coverage_rank"))), "levels")
+    x = F.col("x")
+    levels = levels.withColumn("x", complexity()).withColumn("x1", F.when(x.isNotNull(), F.least(x, F.lit(TOP))))
+    levels = levels.withColumn("x2", F.log(F.col("coverage_rank"))).withColumn("x3", x - F.col("x1"))
+    levels = materialize(levels, "levels")
     median = ratings.where("grade BETWEEN 1 AND 18").groupBy("doc_id").agg(F.median("grade").alias("rating"))
-    known = levels.where("x1 IS NOT NULL AND x2 IS NOT NULL").select("doc_id", "x1", "x2").join(median, "doc_id")
+    known = levels.where("x1 IS NOT NULL AND x2 IS NOT NULL").select("doc_id", "x1", "x2", "x3").join(median, "doc_id")
     known = materialize(known, "rated")
-    fit = calibrate(known).head()
-    fit = calibrate(known.where(F.abs(F.col("rating") - _grade(fit)) <= FAR_OFF)).head()
+    grade = _fitted(known.where(F.abs(F.col("rating") - _fitted(known)) <= FAR_OFF))
     return levels.select(
         "doc_id", F.col("tag").alias("lang"), "n_words",
         F.when(F.col("n_words") > 0, F.col("n_words") / F.col("n_sentences")).alias("words_per_sentence"),
         F.when(F.col("n_words") > 0, F.col("n_syllables") / F.col("n_words")).alias("syllables_per_word"),
-        "coverage_rank", _grade(fit).alias("grade"),
+        "coverage_rank", grade.alias("grade"),
     )
 
 

@@ -91,6 +91,21 @@ def test_no_ratings_leave_the_published_scale(spark):
     assert reading_levels(df.limit(0), spark.createDataFrame([], RATINGS)).count() == 0
 
 
+def test_demanding_documents_are_told_apart(spark):
+    sizes = (5, 10, 15, 62, 72, 82, 92)  # words of one syllable in a sentence: the last four demand more than TOP
+    df = docs(spark, ["1\n00:00:01,000 --> 00:00:02,000\n" + ("word " * n).strip() + ".\n" for n in sizes])
+    published = [0.39 * n + 11.8 - 15.59 for n in sizes]
+    none = {r["doc_id"]: r["grade"] for r in reading_levels(df, spark.createDataFrame([], RATINGS)).collect()}
+    assert np.allclose([none[i] for i in range(len(sizes))], published)
+    for demanding in ((13, 14, 15, 16), (14, 14, 14, 14), (16, 15, 14, 13)):
+        ratings = [(i, "r", g) for i, g in enumerate((1, 2, 3, *demanding))]
+        levels = reading_levels(df, spark.createDataFrame(ratings, RATINGS))
+        grades = [r["grade"] for r in levels.orderBy("doc_id").collect()]
+        assert grades == sorted(set(grades))
+    bins = reading.profile(reading_levels(df, spark.createDataFrame([(3, "r", 13), (4, "r", 14), (5, "r", 15), (6, "r", 17)], RATINGS)))
+    assert bins.where("school_grade >= 13").count() >= 2
+
+
 def test_held_out_readers_agree(spark):
     at = "/root/testdata/sf0.1"
     ratings = table(spark, at, "reading_label")
