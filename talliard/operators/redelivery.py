@@ -6,7 +6,8 @@ index of (64-bit hash of the identifier, partition). An ingest
 1. looks the incoming identifiers up in the index, which names the affected partitions,
 2. combines those partitions' copies with the incoming ones and recomputes a single winner per identifier: the copy
    with the smallest order value,
-3. writes new files for the incoming survivors and for those affected partitions that lose a row, and for no others,
+3. writes new files for the incoming survivors and for those affected partitions that lose a row or hold a repeat of an
+   incoming row, and for no others,
 4. publishes the new list of files by one atomic rename.
 
 Readers see the old or the new version, never a mixture; an ingest that dies before step 4 has no effect.
@@ -15,7 +16,8 @@ Defined results
   * null and '' are no identifiers: every such message is kept.
   * Identifiers are compared character by character, without trimming or case folding.
   * Rows that agree in identifier and order value are repeats of one row: one of them stays (the one whose other
-    columns hash lowest), and the log of removed rows doesn't name that order value.
+    columns hash lowest), whether they come in one ingest or in several, and the log of removed rows doesn't name that
+    order value. A delivery that was not kept is named once, however often it comes.
   * ``order`` must differ between deliveries of different identifiers. A message with an identifier but without an
     order value can't be ranked: it is set aside, whole, in ``unranked()`` and takes no part in the choice.
   * A null timestamp goes to the partition 'none'.
@@ -80,7 +82,7 @@ class MessageStore:
         if not state["schema"]:
             raise ValueError("nothing was ingested yet")
         kinds = _schema(state["schema"])
-        return self._read([f"{self.path}/{p}" for p in state["removed"]], _pick(kinds, [self.order, self.key]))
+        return self._read([f"{self.path}/{p}" for p in state["removed"]], _pick(kinds, [self.order, self.key])).distinct()
 
     def unranked(self) -> DataFrame:
         """Messages with an identifier but a null order value, as they came."""
@@ -105,10 +107,12 @@ class MessageStore:
         flat = incoming.where(~lame).withColumn("__t_part", self._partition())
         new = flat.where(is_id(key)).select(self.key, order.alias("__t_rank"), F.lit(None).cast("string").alias("__t_old"))
 
-        both = new
-        if state["index"]:
-            old = self._held(state, new, segment)
-            both = new if old is None else new.unionByName(old)
+        both, tied = new, []
+        if (old := self._held(state, new, segment) if state["index"] else None) is not None:
+            both = new.unionByName(old)
+            # A stored row and its incoming repeat both hold the smallest order value: neither is among the losers.
+            tied = old.join(new.select(self.key, "__t_rank"), [self.key, "__t_rank"], "left_semi").select("__t_old").distinct()
+            tied = [r[0] for r in tied.collect()]  # partition names
         winners = both.groupBy(self.key).agg(F.min("__t_rank").alias("__t_rank"))
         losers = both.join(winners.select("__t_rank"), "__t_rank", "left_anti")
         losers = losers.select(F.col("__t_rank").alias(self.order), self.key, "__t_old")
@@ -118,6 +122,7 @@ class MessageStore:
         rows, hurt = flat, []
         if state["index"]:  # partition names: as many as the manifest lists
             hurt = [r[0] for r in lost.where("__t_old IS NOT NULL").select("__t_old").distinct().collect()]
+            hurt = [*dict.fromkeys(hurt + tied)]
         if hurt:
             old = self._read(self._paths(state, hurt), incoming.schema)
             rows = rows.unionByName(old.withColumn("__t_part", self._partition()))
@@ -170,10 +175,10 @@ class MessageStore:
         return [f"{kind}/{n}" for n in self._names(kind)]
 
     def _held(self, state: dict, new: DataFrame, segment: str) -> DataFrame | None:
-        """The copies that affected historical partitions hold of incoming identifiers."""
+        """The copies that affected historical partitions hold of incoming identifiers, written once."""
         index = self.spark.read.schema("h BIGINT, part STRING").parquet(*[f"{self.path}/{p}" for p in state["index"]])
         asked = new.select(F.xxhash64(self.key).alias("h")).distinct()
-        at = f"{self.path}/work/{segment}-hits"
+        at = f"{self.path}/work/{segment}/hits"
         index.join(asked, "h", "left_semi").distinct().write.parquet(at)
         hits = self.spark.read.schema("h BIGINT, part STRING").parquet(at)
         affected = [r[0] for r in hits.select("part").distinct().collect()]
@@ -184,7 +189,10 @@ class MessageStore:
             self.key, F.col(self.order).alias("__t_rank"), self._partition().alias("__t_old"),
             F.xxhash64(self.key).alias("__t_h"),
         )
-        return held.join(hits.select(F.col("h").alias("__t_h")).distinct(), "__t_h", "left_semi").drop("__t_h")
+        held = held.join(hits.select(F.col("h").alias("__t_h")).distinct(), "__t_h", "left_semi").drop("__t_h")
+        at = f"{self.path}/work/{segment}/held"
+        held.write.parquet(at)
+        return self.spark.read.schema(held.schema).parquet(at)
 
     def _survivors(self, rows: DataFrame, lost: DataFrame) -> DataFrame:
         """rows without lost ones and without ties, clustered in chunks of consecutive order values."""
