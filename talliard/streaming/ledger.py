@@ -78,14 +78,14 @@ def streaming_journal(commands: DataFrame, processor: Callable = wallet, remembe
 
 
 def start(journal: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, heartbeat: str | None = None) -> StreamingQuery:
-    """Starts the query. Without ``heartbeat`` it takes what is there and ends; with one it wakes at that interval, so that
-    idle logs get their snapshots too."""
+    """Starts the query. Without ``heartbeat`` it takes what is there and ends; with one it wakes at that interval.
+    The sink isn't called while no data arrive."""
     writer = journal.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if heartbeat is None else writer.trigger(processingTime=heartbeat)).start()
 
 
 def shut_down(query: StreamingQuery) -> None:
-    """Drains what has arrived, then stops."""
+    """Drains what has arrived, then stops; takes no final snapshot."""
     query.processAllAvailable()
     query.stop()
 
