@@ -152,6 +152,13 @@ class VersionLog:
                 raise FileExistsError(f"version {number} of {self.path} was published by another writer") from e
             raise
 
+    def names(self, path: str) -> list[str]:
+        """Names of the folders in a folder; none if it doesn't exist."""
+        where = self._fs.Path(path)
+        fs = where.getFileSystem(self._conf)
+        found = fs.listStatus(where) if fs.exists(where) else []
+        return [s.getPath().getName() for s in found if s.isDirectory()]
+
     def delete(self, path: str) -> None:
         where = self._fs.Path(path)
         where.getFileSystem(self._conf).delete(where, True)

@@ -107,3 +107,27 @@ def test_empty_log(spark):
     j = job(spark)
     assert j.run(spark.createDataFrame([], LOG)).count() == 0
     assert j.run(spark.createDataFrame([], LOG), marks=last_successful(spark.createDataFrame([], RUNS))).count() == 0
+
+
+def test_later_runs_read_only_what_is_new(spark):
+    """A second run that gets the new rows alone does the same as one that gets the whole log."""
+    rnd = random.Random(12)
+    first, second, third = rows_of(rnd, 80), rows_of(rnd, 30, 80), rows_of(rnd, 30, 110)
+    whole, part = job(spark), job(spark)
+    for j, batches in ((whole, (first, first + second, first + second + third)), (part, (first, second, third))):
+        j.result = [sorted((tuple(r) for r in j.run(spark.createDataFrame(b, LOG)).collect()), key=str) for b in batches]
+    assert whole.result == part.result and len(whole.result[2]) > 0
+    assert sum(len(s["files"]) for s in part.log.current()[1]["state"]) <= 3
+
+
+def test_later_run_after_marks(spark):
+    """Positions that the first run left out are compared with what the log held when it ran."""
+    rnd = random.Random(5)
+    first, second = rows_of(rnd, 120), rows_of(rnd, 60, 120)
+    runs = [(2, 0, 7, "SAVED", T[12], T[13], "m"), (5, 1, None, "SAVED", T[25], T[26], "m"), (6, 2, 5, "SAVED", None, T[26], "m")]
+    j = job(spark)
+    j.run(spark.createDataFrame(first, LOG), marks=last_successful(spark.createDataFrame(runs, RUNS)))
+    got = {tuple(r)[:2] for r in j.run(spark.createDataFrame(first + second, LOG)).collect()}
+    newest = lambda rows: {r[:2]: r[3:6] for r in rows if r[0] is not None and r[1] is not None}
+    old, new = newest(first), newest(first + second)
+    assert got == {k for k, v in new.items() if old.get(k, "absent") != v}
