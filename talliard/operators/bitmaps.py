@@ -1,7 +1,7 @@
 """Sets of whole numbers as bits: a set that is known once is met by rows where they lie, without a shuffle of the rows.
 
-A set is a table of chunks of 2**15 numbers, 512 words of 64 bits each. Its size is counted: up to ``MOST_CHUNKS`` chunks
-(4 KB each) it is sent to all executors; a larger one meets the rows in a shuffle by chunk. Both give the same rows.
+A set is a table of chunks of 2**12 numbers, 64 words of 64 bits each. Its size is counted: up to ``MOST_CHUNKS`` chunks
+(half a KB each) it is sent to all executors; a larger one meets the rows in a shuffle by chunk. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from talliard.workspace import materialize
 
 #: Chunks that are broadcast at most: 48 MB of bits.
-MOST_CHUNKS = 12_288
-CHUNK_BITS = 15
+MOST_CHUNKS = 98_304
+CHUNK_BITS = 12
 _WORDS = 1 << (CHUNK_BITS - 6)
 
 
