@@ -38,8 +38,8 @@ from talliard.workspace import VersionLog, broadcast_if_small, materialize
 
 #: Positions are looked up by chunks of 2**20 consecutive ones.
 CHUNK_BITS = 20
-#: Rows in a file of the state: some tens of MB.
-FILE_ROWS = 1 << 20
+#: Rows in a file of the state: some MB.
+FILE_ROWS = 1 << 18
 
 
 def last_successful(runs: DataFrame) -> DataFrame:
