@@ -70,11 +70,15 @@ class Hashes:
     thinning rows out before they are compared in full."""
 
     def __init__(self, df: DataFrame, hash: str, count: int, name: str = "hashes"):
-        self.size = max(1 << CHUNK_BITS, 16 * count)
+        self.keys, self.hash, self.size = df, hash, max(1 << CHUNK_BITS, 16 * count)
         self.bits = Bits(df, self._place(F.col(hash)), name=name)
 
     def _place(self, h: Column) -> Column:
         return F.pmod(h, F.lit(self.size).cast("bigint"))
 
     def thin(self, rows: DataFrame, hash: Column) -> DataFrame:
-        return self.bits.inside(rows, self._place(hash)) if self.bits.small else rows
+        """Rows whose hash is in the set, and few others; none of the others where the set is too large to be sent."""
+        if self.bits.small:
+            return self.bits.inside(rows, self._place(hash))
+        keys = self.keys.select(F.col(self.hash).alias("__t_k")).distinct()
+        return rows.withColumn("__t_k", hash).join(keys, "__t_k", "left_semi").drop("__t_k")

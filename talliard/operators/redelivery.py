@@ -1,9 +1,9 @@
 """Exactly one copy of each message from an at-least-once log (problem 1).
 
 ``MessageStore`` keeps the surviving messages in historical partitions (a period of time each) beside an identifier
-index of (64-bit hash of the identifier, partition). An ingest
+index of (64-bit hash of the identifier, the partitions it came in). An ingest
 
-1. looks the incoming identifiers up in the index, which names the affected partitions,
+1. meets the index with the incoming identifiers, bucket by bucket, which names the affected partitions,
 2. combines those partitions' copies with the incoming ones and recomputes a single winner per identifier: the copy
    with the smallest order value,
 3. writes new files for the incoming survivors and for those affected partitions that lose a row or hold a repeat of an
@@ -24,26 +24,30 @@ Defined results
   * Empty input publishes a version without rows. Other columns pass through unchanged, whatever their names; names
     that start with ``__t_`` are refused, because the operator uses them.
 
-Scale: identifiers are reduced by a partially aggregated minimum, so an identifier that holds a third of all rows sends
-one row per task. Losers are then found by an anti-join on the unique order value, and full rows are shuffled once, in
-chunks of consecutive order values, against the losers of their chunk packed into bitmaps. No key is hot in either.
+Scale: what is shuffled is the partially aggregated hashes of the incoming identifiers (an identifier that holds a third of
+all rows sends one row per task), once, into the buckets of the index; and the narrow rows of identifiers that came more
+than once, whose losers are found by an anti-join on the unique order value, so that no key is hot. Full rows stay in their
+tasks: losers are packed into bits by order value, and only if those outgrow what may be broadcast do rows move, in chunks
+of consecutive order values. Index segments of like length merge, so there are few, and a row is rewritten a logarithmic
+number of times.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from talliard.operators.bitmaps import Bits, Hashes
 from talliard.sources.tables import is_id
-from talliard.workspace import VersionLog, release
+from talliard.workspace import Bucketed, VersionLog, materialize, spread
 
-#: Order values per chunk: 2**18 rows are some tens of MB to sort, and the losers of a chunk take at most 32 KB as bits.
-CHUNK_BITS = 18
-#: Bits in one of Spark's bitmaps.
-BITMAP = 32768
+#: The index: how often a hash came, and the first and last partition (as a number) and whether the one without a time.
+INDEX = "h BIGINT, n BIGINT, first BIGINT, last BIGINT, timeless BOOLEAN"
 
 
 class MessageStore:
@@ -105,144 +109,133 @@ class MessageStore:
             incoming.where(lame).write.parquet(f"{self.path}/unranked/{segment}")
             unranked = unranked + [f"unranked/{segment}"]
         flat = incoming.where(~lame).withColumn("__t_part", self._partition())
-        new = flat.where(is_id(key)).select(self.key, order.alias("__t_rank"), F.lit(None).cast("string").alias("__t_old"))
-
-        both, tied = new, []
-        if (old := self._held(state, new, segment) if state["index"] else None) is not None:
-            both = new.unionByName(old)
-            # A stored row and its incoming repeat both hold the smallest order value: neither is among the losers.
-            tied = old.join(new.select(self.key, "__t_rank"), [self.key, "__t_rank"], "left_semi").select("__t_old").distinct()
-            tied = [r[0] for r in tied.collect()]  # partition names
-        winners = both.groupBy(self.key).agg(F.min("__t_rank").alias("__t_rank"))
-        losers = both.join(winners.select("__t_rank"), "__t_rank", "left_anti")
-        losers = losers.select(F.col("__t_rank").alias(self.order), self.key, "__t_old")
-        lost_at = f"{self.path}/removed/{segment}"
-        losers.write.parquet(lost_at)
-        lost = self.spark.read.schema(losers.schema).parquet(lost_at)
-        rows, hurt = flat, []
-        if state["index"]:  # partition names: as many as the manifest lists
-            hurt = [r[0] for r in lost.where("__t_old IS NOT NULL").select("__t_old").distinct().collect()]
-            hurt = [*dict.fromkeys(hurt + tied)]
-        if hurt:
-            old = self._read(self._paths(state, hurt), incoming.schema)
-            rows = rows.unionByName(old.withColumn("__t_part", self._partition()))
-        self._survivors(rows, lost).write.partitionBy("__t_part").option("compression", "zstd").parquet(
-            f"{self.path}/data/{segment}"
-        )
-
-        written = self._written(f"data/{segment}")
+        with Bucketed(self.spark) as tables:
+            index, suspects, affected = self._index(flat, state["index"], segment, tables)
+        removed, hurt, tied = state["removed"], [], None
+        rows = flat
+        if (n := suspects.count()) > 0:
+            suspects = Hashes(suspects, "h", n)
+            lost, tied, hurt = self._decide(flat, self._paths(state, affected), suspects, f"{self.path}/removed/{segment}")
+            removed = removed + [f"removed/{segment}"]
+            if hurt:
+                old = self._read(self._paths(state, hurt), incoming.schema)
+                rows = rows.unionByName(old.withColumn("__t_part", self._partition()))
+            rows = self._survivors(rows, Bits(lost, order, name="lost"), tied)
+        spread(rows).write.partitionBy("__t_part").option("compression", "zstd").parquet(f"{self.path}/data/{segment}")
         parts = {p: v for p, v in state["parts"].items() if p not in hurt}
-        for p, at in written.items():
+        for p, at in self._written(f"data/{segment}").items():
             parts[p] = parts.get(p, []) + [at]
-        index = state["index"]
-        if written:
-            self._index(incoming, segment)
-            index = index + [f"index/{segment}"]
         self.log.publish(
-            number,
-            {
-                "parts": parts,
-                "index": index,
-                "removed": state["removed"] + [f"removed/{segment}"],
-                "unranked": unranked,
-                "schema": incoming.schema.json(),
-            },
+            number, {"parts": parts, "index": index, "removed": removed, "unranked": unranked, "schema": incoming.schema.json()}
         )
-        release(self.spark)
 
     def vacuum(self) -> int:
         """Deletes what the newest version doesn't name: files of rewritten partitions, and what failed ingests left. For
         quiet times only: older readers and a running ingest lose their files. Returns how many folders went."""
         state = self._state()
         live = {p for paths in state["parts"].values() for p in paths}
-        live |= {*state["index"], *state["removed"], *state["unranked"]}
+        live |= {*(s["at"] for s in state["index"]), *state["removed"], *state["unranked"]}
         gone = 0
-        for kind in ("data", "index", "removed", "unranked", "work"):
+        for kind in ("data", "index", "removed", "unranked"):
             for segment in self._folders(kind):
-                inner = [f"{segment}/{n}" for n in self._names(segment)] if kind == "data" else [segment]
+                inner = [f"{segment}/{n}" for n in self.log.names(f"{self.path}/{segment}")] if kind == "data" else [segment]
                 for dead in (p for p in inner if p not in live):
                     self.log.delete(f"{self.path}/{dead}")
                     gone += 1
         return gone
 
-    def _names(self, at: str) -> list[str]:
-        where = self.log._fs.Path(f"{self.path}/{at}")
-        fs = where.getFileSystem(self.log._conf)
-        found = fs.listStatus(where) if fs.exists(where) else []
-        return [s.getPath().getName() for s in found if s.isDirectory()]
-
     def _folders(self, kind: str) -> list[str]:
-        return [f"{kind}/{n}" for n in self._names(kind)]
-
-    def _held(self, state: dict, new: DataFrame, segment: str) -> DataFrame | None:
-        """The copies that affected historical partitions hold of incoming identifiers, written once."""
-        index = self.spark.read.schema("h BIGINT, part STRING").parquet(*[f"{self.path}/{p}" for p in state["index"]])
-        asked = new.select(F.xxhash64(self.key).alias("h")).distinct()
-        at = f"{self.path}/work/{segment}/hits"
-        index.join(asked, "h", "left_semi").distinct().write.parquet(at)
-        hits = self.spark.read.schema("h BIGINT, part STRING").parquet(at)
-        affected = [r[0] for r in hits.select("part").distinct().collect()]
-        if not affected:
-            return None
-        held = self._read(self._paths(state, affected), _pick(_schema(state["schema"]), [self.key, self.order, self.time]))
-        held = held.where(is_id(F.col(self.key))).select(
-            self.key, F.col(self.order).alias("__t_rank"), self._partition().alias("__t_old"),
-            F.xxhash64(self.key).alias("__t_h"),
-        )
-        held = held.join(hits.select(F.col("h").alias("__t_h")).distinct(), "__t_h", "left_semi").drop("__t_h")
-        at = f"{self.path}/work/{segment}/held"
-        held.write.parquet(at)
-        return self.spark.read.schema(held.schema).parquet(at)
-
-    def _survivors(self, rows: DataFrame, lost: DataFrame) -> DataFrame:
-        """rows without lost ones and without ties, clustered in chunks of consecutive order values."""
-        # Rows without an order value (they have no identifier either) are spread over chunks of their own.
-        chunk = F.coalesce(F.shiftright("__t_rank", CHUNK_BITS), -1 - F.pmod(F.col("__t_hash"), F.lit(4096)))
-        bits = (
-            lost.select(F.col(self.order).alias("__t_rank"), F.lit(0).alias("__t_hash"))
-            .groupBy(chunk.alias("__t_chunk"), F.bitmap_bucket_number("__t_rank").alias("b"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__t_rank")).alias("m"))
-            .groupBy("__t_chunk")
-            .agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("__t_bits"))
-        )
-        names = [c for c in rows.columns if c != "__t_part"]
-        rows = rows.withColumn("__t_rank", F.col(self.order)).withColumn("__t_hash", F.xxhash64(*names))
-        rows = rows.withColumn("__t_chunk", chunk)
-        rows = rows.withColumn("__t_id", is_id(F.col(self.key)))
-        joined = rows.join(bits, "__t_chunk", "left")
-        mask = F.element_at("__t_bits", F.bitmap_bucket_number("__t_rank"))
-        at = F.bitmap_bit_position("__t_rank")
-        byte = F.conv(F.hex(F.substring(mask, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        bit = F.expr("shiftright(__t_byte, cast(bitmap_bit_position(__t_rank) & 7 as int)) & 1")
-        joined = joined.withColumn("__t_byte", F.when(F.col("__t_id") & mask.isNotNull(), byte)).where(
-            F.coalesce(bit, F.lit(0)) == 0
+        return [f"{kind}/{n}" for n in self.log.names(f"{self.path}/{kind}")]
+
+    def _index(self, flat: DataFrame, segments: list[dict], segment: str, tables: Bucketed) -> tuple[list[dict], DataFrame, list[str]]:
+        """(the index with a segment for the incoming rows, hashes that came more than once, partitions that may hold a copy)."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ordinal = F.when(F.col("__t_part") != "none", F.replace("__t_part", F.lit("-"), F.lit("")).cast("bigint"))
+        came = flat.where(is_id(F.col(self.key))).select(F.xxhash64(self.key).alias("h"), ordinal.alias("o"))
+        came = came.groupBy("h").agg(
+            F.count(F.lit(1)).alias("n"), F.min("o").alias("first"), F.max("o").alias("last"), F.max(F.col("o").isNull()).alias("timeless")
         )
-        # Ties share the order value and so the chunk: no further shuffle.
-        tie = Window.partitionBy("__t_chunk", "__t_rank", F.when(F.col("__t_id"), F.col(self.key)))
-        n = F.row_number().over(tie.orderBy("__t_hash"))
-        return joined.withColumn("__t_n", n).where("__t_n = 1 OR NOT __t_id").select(*names, "__t_part")
+        at = f"index/{segment}"
+        came = tables.save(came, "h", f"{self.path}/{at}", buckets)
+        again = came.where("n > 1").select("h")
+        held = None
+        for s in segments:
+            found = tables.open(INDEX, "h", f"{self.path}/{s['at']}", s["buckets"]).join(came.select("h"), "h", "left_semi")
+            held = found if held is None else held.unionByName(found)
+        affected: list[str] = []
+        if held is not None:
+            held = materialize(held, "held")
+            affected = self._affected(held)
+            again = again.unionByName(held.select("h"))
+        again = materialize(again.distinct(), "suspects")
+        n, kept, merge = came.count(), list(segments), []
+        while kept and kept[-1]["rows"] < 2 * (n + sum(s["rows"] for s in merge)):
+            merge.append(kept.pop())
+        if merge:
+            rows = came
+            for s in merge:
+                rows = rows.unionByName(tables.open(INDEX, "h", f"{self.path}/{s['at']}", s["buckets"]))
+            rows = rows.groupBy("h").agg(*[f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "first"), (F.max, "last"), (F.max, "timeless"))])
+            at = f"index/{segment}-merged"
+            n = tables.save(rows, "h", f"{self.path}/{at}", buckets).count()
+        return [*kept, {"at": at, "rows": n, "buckets": buckets}], again, affected
+
+    def _affected(self, held: DataFrame) -> list[str]:
+        """Stored partitions between the first and the last one of any entry; what comes here is at most a number per partition."""
+        opened = dict(map(tuple, held.where("first IS NOT NULL").groupBy("first").count().collect()))
+        closed = dict(map(tuple, held.where("last IS NOT NULL").groupBy("last").count().collect()))
+        names = {int(p.replace("-", "")): p for p in self._state()["parts"] if p != "none"}
+        found, open_ = [], 0
+        for o in sorted({*names, *opened, *closed}):
+            open_ += opened.get(o, 0)
+            if open_ and o in names:
+                found.append(names[o])
+            open_ -= closed.get(o, 0)
+        return found + ["none"] * (not held.where("timeless").isEmpty())
+
+    def _decide(self, flat: DataFrame, stored: list[str], suspects: Hashes, at: str) -> tuple[DataFrame, DataFrame | None, list[str]]:
+        """Writes the removed rows to ``at``. (order and key of the losers, order values that several copies of one row have,
+        stored partitions that lose a row)."""
+        key, order = F.col(self.key), F.col(self.order)
+        new = flat.where(is_id(key)).select(self.key, order.alias("__t_rank"), F.lit(None).cast("string").alias("__t_old"))
+        both = suspects.thin(new, F.xxhash64(self.key))
+        if stored:
+            held = self._read(stored, _pick(flat.schema, [self.key, self.order, self.time])).where(is_id(key))
+            held = held.select(self.key, order.alias("__t_rank"), self._partition().alias("__t_old"))
+            both = both.unionByName(suspects.thin(held, F.xxhash64(self.key)))
+        both = materialize(both, "suspected")
+        copies = both.groupBy(self.key, "__t_rank").agg(F.count(F.lit(1)).alias("n"))
+        winners = materialize(both.groupBy(self.key).agg(F.min("__t_rank").alias("__t_rank")), "winners").select("__t_rank")
+        losers = both.select(self.key, "__t_rank").join(winners, "__t_rank", "left_anti")
+        losers.distinct().select(F.col("__t_rank").alias(self.order), self.key).write.parquet(at)
+        lost = self.spark.read.schema(_pick(flat.schema, [self.order, self.key])).parquet(at)
+        tied = materialize(copies.where("n > 1").select("__t_rank").join(winners, "__t_rank", "left_semi"), "tied")
+        tied = None if tied.isEmpty() else tied
+        touched = lost.select(order.alias("__t_rank"))
+        touched = touched if tied is None else touched.unionByName(tied)
+        hurt = both.where("__t_old IS NOT NULL").join(touched, "__t_rank", "left_semi").select("__t_old").distinct()
+        return lost, tied, [r[0] for r in hurt.collect()]  # partition names: as many as the manifest lists
+
+    def _survivors(self, rows: DataFrame, lost: Bits, tied: DataFrame | None) -> DataFrame:
+        """rows without lost ones, and one of each repeated row."""
+        names = rows.columns
+        rank = F.when(is_id(F.col(self.key)), F.col(self.order))
+        spread = F.xxhash64(*[c for c in names if c != "__t_part"])
+        rows = lost.outside(rows, rank, spread)
+        if tied is None:
+            return rows
+        rows = Bits(tied, F.col("__t_rank"), name="tied").split(rows, rank, spread)
+        n = F.row_number().over(Window.partitionBy(self.order, self.key).orderBy("__t_spread"))
+        repeated = rows.where("__t_in").withColumn("__t_spread", spread).withColumn("__t_n", n).where("__t_n = 1")
+        return rows.where("NOT __t_in").select(names).unionByName(repeated.select(names))
 
     def _written(self, at: str) -> dict[str, str]:
-        names = self._names(at)
-        return {n.partition("=")[2]: f"{at}/{n}" for n in names if "=" in n}
-
-    def _index(self, incoming: DataFrame, segment: str) -> None:
-        """Index of the segment's rows. Rows of rewritten partitions are listed again: their entries are the same, and
-        entries of removed copies remain true of the partition that now holds the winner or only cost a look-up."""
-        rows = self.spark.read.schema(incoming.schema).parquet(*[f"{self.path}/{p}" for p in self._written(f"data/{segment}").values()])
-        entries = rows.where(is_id(F.col(self.key))).select(F.xxhash64(self.key).alias("h"), self._partition().alias("part"))
-        entries.write.option("compression", "zstd").parquet(f"{self.path}/index/{segment}")
+        return {n.partition("=")[2]: f"{at}/{n}" for n in self.log.names(f"{self.path}/{at}") if "=" in n}
 
 
 def _schema(text: str):
-    import json
-
-    from pyspark.sql.types import StructType
-
     return StructType.fromJson(json.loads(text))
 
 
 def _pick(schema, names: list[str]):
-    from pyspark.sql.types import StructType
-
     return StructType([schema[n] for n in dict.fromkeys(names)])

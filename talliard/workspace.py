@@ -7,7 +7,6 @@ Every table that cuts lineage is written below ``spark.checkpoint.dir``, the fol
 from __future__ import annotations
 
 import atexit
-import gc
 import io
 import json
 import tempfile
@@ -64,6 +63,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer parts than there are: a few large row groups would keep most of them idle. What
+    then moves is less than one part per core; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 #: A table is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 100_000
 
@@ -74,10 +80,35 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished jobs now rather than at the driver's next full collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+class Bucketed:
+    """Tables whose files are hashed into sorted buckets by a column: joins and aggregates on it leave their rows where they
+    are. The session's catalog knows a table only inside the ``with``; its files stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+
+    def __enter__(self) -> "Bucketed":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _name(self) -> str:
+        self.names.append(f"talliard_{uuid.uuid4().hex}")
+        return self.names[-1]
+
+    def save(self, df: DataFrame, by: str, path: str, buckets: int) -> DataFrame:
+        name = self._name()
+        writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
+        writer.bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+        return self.spark.table(name)
+
+    def open(self, ddl: str, by: str, path: str, buckets: int) -> DataFrame:
+        name = self._name()
+        how = f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS"
+        self.spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet {how} LOCATION '{path}'")
+        return self.spark.table(name)
 
 
 _shipped: set[str] = set()
@@ -164,4 +195,4 @@ class VersionLog:
         where.getFileSystem(self._conf).delete(where, True)
 
 
-__all__ = ["VersionLog", "broadcast_if_small", "clean", "fresh_dir", "materialize", "release", "shared_dir", "ship"]
+__all__ = ["Bucketed", "VersionLog", "broadcast_if_small", "clean", "fresh_dir", "materialize", "shared_dir", "ship", "spread"]
