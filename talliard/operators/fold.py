@@ -13,6 +13,8 @@ them out in Spark's own expressions, which is also the way for an account that h
 Defined results
   * A null identifier, amount or seq makes a command INVALID (4001); it changes nothing. A null user is an account like any other.
   * ``seq`` should be unique; among equals the order is that of identifier, then amount.
+  * A processor that returns None accepts the command and its identifier, leaves the balance and sends nothing to the sink
+    (``has_entity`` false). Any error but Reject makes the command an ERROR, changes nothing, and the log goes on.
   * A command's ``partition`` outside its scope's routing isn't judged here (see ``misrouted``).
   * Sums beyond a bigint raise. An empty log gives an empty journal. Further columns aren't read.
 """
@@ -26,6 +28,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,8 +39,9 @@ from talliard.functions.money import to_db
 SHORT_OF_FUNDS = "INSUFFICIENT_BALANCE"
 JOURNAL = (
     "seq BIGINT, tx_id STRING, user_id BIGINT, amount BIGINT, status STRING, code INT, reason STRING, "
-    "balance_before BIGINT, balance_after BIGINT"
+    "balance_before BIGINT, balance_after BIGINT, has_entity BOOLEAN"
 )
+NAMES = [c.split()[0] for c in JOURNAL.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -77,10 +81,10 @@ class _Fifo:
 
 
 class _Bloom:
-    def __init__(self, of: Dedup):
+    def __init__(self, of: Dedup, empty: bool = True):
         self.bits = max(64, math.ceil(-of.size * math.log(of.fpp) / math.log(2) ** 2))
         self.probes = max(1, round(self.bits / of.size * math.log(2)))
-        self.held = bytearray(self.bits // 8 + 1)
+        self.held = bytearray(self.bits // 8 + 1) if empty else None
 
     def _places(self, tx: str):
         d = hashlib.blake2b(tx.encode(), digest_size=16).digest()
@@ -99,6 +103,21 @@ class Reject(Exception):
     """Raised by a processor to refuse a command; the text becomes the journal's reason."""
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """What a processor may return instead of the new balance: ``own`` is the account's further state, any JSON value, which
+    it gets back with the next command; ``entity``: whether the sink gets the balance."""
+
+    balance: int
+    own: object = None
+    entity: bool = True
+
+
+#: (balance, amount, user, tx) -> the new balance, an Outcome or None. A processor with a true attribute ``keeps_state`` gets
+#: the account's own state as a fifth argument, None at first.
+Processor = Callable[..., "int | Outcome | None"]
+
+
 def wallet(balance: int, amount: int, user: int | None, tx: str) -> int:
     """The standard processor: the new balance, or Reject."""
     if amount < 0 and balance + amount < 0:
@@ -106,13 +125,63 @@ def wallet(balance: int, amount: int, user: int | None, tx: str) -> int:
     return balance + amount
 
 
+class Scope:
+    """The state of one scope while its commands are taken in order; batch and stream decide by it."""
+
+    def __init__(self, memory, processor: Processor):
+        self.seen, self.processor, self.standard = memory, processor, processor is wallet
+        self.keeps = getattr(processor, "keeps_state", False)
+        self.balances: dict = {}
+        self.own: dict = {}
+
+    def take(self, tx: str | None, user: int | None, amount: int | None, valid: bool, many: bool) -> tuple:
+        """(status, reason, balance before, balance after, whether there is an entity) of the next command. ``many``: whether
+        its identifier can come again."""
+        before = self.balances.get(user, 0)
+        if not valid:
+            return INVALID, None, before, before, False
+        if many and tx in self.seen:
+            return DUPLICATE, None, before, before, False
+        after, entity = before, True
+        if self.standard:
+            after = before + amount
+            if amount < 0 and after < 0:
+                return REJECTED, SHORT_OF_FUNDS, before, before, False
+        else:
+            try:
+                given = (before, amount, user, tx, self.own.get(user)) if self.keeps else (before, amount, user, tx)
+                out = self.processor(*given)
+                if isinstance(out, Outcome):
+                    after, entity = _money(out.balance), out.entity
+                    self.own[user] = out.own
+                elif out is None:
+                    entity = False
+                else:
+                    after = _money(out)
+            except Reject as e:
+                return REJECTED, str(e), before, before, False
+            except Exception as e:  # one command's failure must not stop the log
+                return ERROR, f"{type(e).__name__}: {e}", before, before, False
+        self.balances[user] = after
+        if many:
+            self.seen.add(tx)
+        return ACCEPTED, None, before, after, entity
+
+
+def _money(balance) -> int:
+    """A processor's balance as units; what isn't one is the processor's error."""
+    if isinstance(balance, bool) or int(balance) != balance or not -(2**63) <= balance < 2**63:
+        raise ValueError(f"not a balance: {balance!r}")
+    return int(balance)
+
+
 def journal(
     commands: DataFrame,
     opening: DataFrame | None = None,
     dedup: Dedup = Dedup(),
     scope: str = "key",
     accepted: DataFrame | None = None,
-    processor: Callable[[int, int, int | None, str], int] = wallet,
+    processor: Processor = wallet,
     fast: bool = False,
 ) -> DataFrame:
     """JOURNAL rows plus ``balance`` DECIMAL(19,4). ``opening``: (user_id, balance) to start from, 0 where absent; ``accepted``:
@@ -152,7 +221,7 @@ def journal(
         rows, quick = _without_rejections(rows, order)
     rows = rows.sortWithinPartitions(*group, *order)
     folded = rows.select(*dict.fromkeys(["kind", "seq", "tx_id", "user_id", "amount", "valid", "many", *group])).mapInArrow(
-        _folder(group[0] if group else None, scope == "key", dedup, processor), JOURNAL
+        _folder(group[0] if group else None, dedup, processor), JOURNAL
     )
     if fast:
         folded = folded.unionByName(quick)
@@ -175,52 +244,44 @@ def _without_rejections(rows: DataFrame, order: list[str]) -> tuple[DataFrame, D
     quick = rows.where("NOT hurt AND kind = 2").select(
         "seq", "tx_id", "user_id", "amount", status.alias("status"), code.cast("int").alias("code"),
         F.lit(None).cast("string").alias("reason"), (F.col("after") - F.col("part")).alias("balance_before"), F.col("after").alias("balance_after"),
+        (F.col("valid") & F.col("first")).alias("has_entity"),
     )
     return rows.where("hurt"), quick
 
 
-def _folder(group: str | None, per_key: bool, dedup: Dedup, processor):
-    names = ("seq", "tx_id", "user_id", "amount", "status", "code", "reason", "balance_before", "balance_after")
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+#: In the order of the codes that the pass counts them by.
+_STATUSES = (ACCEPTED, REJECTED, DUPLICATE, INVALID, ERROR)
+
+
+def _folder(group: str | None, dedup: Dedup, processor: Processor):
+    codes = {s: i for i, s in enumerate(_STATUSES)}
+    texts, numbers = pa.array(_STATUSES, pa.string()), pa.array([STATUS_CODE.get(s) for s in _STATUSES], pa.int32())
+    kinds = (pa.int8(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+
+    def plain(b, c: str) -> list:
+        column = b.column(c)
+        return column.to_numpy(zero_copy_only=False).tolist() if not column.null_count else column.to_pylist()
 
     def fold(batches):
-        at, seen, balances = object(), None, {}
+        at, scope = object(), None
         for b in batches:
-            out = [[] for _ in names]
-            columns = {c: b.column(c).to_pylist() for c in b.schema.names}
-            groups = columns[group] if group else [None] * b.num_rows
-            rows = zip(groups, *(columns[c] for c in ("kind", "seq", "tx_id", "user_id", "amount", "valid", "many")))
-            for g, kind, seq, tx, user, amount, valid, many in rows:
+            columns = [plain(b, c) for c in ("kind", "tx_id", "user_id", "amount", "valid", "many")]
+            out = []
+            for g, kind, tx, user, amount, valid, many in zip(plain(b, group) if group else [None] * b.num_rows, *columns):
                 if g != at:
-                    at, seen, balances = g, dedup.memory(), {}
-                if kind == 0:
-                    balances[user] = amount or 0
-                    continue
-                if kind == 1:
-                    if tx is not None and many:
-                        seen.add(tx)
-                    continue
-                before = after = balances.get(user, 0)
-                reason = None
-                if not valid:
-                    status = INVALID
-                elif many and tx in seen:
-                    status = DUPLICATE
-                else:
-                    try:
-                        after = processor(before, amount, user, tx)
-                        status = ACCEPTED
-                    except Reject as e:
-                        status, reason = REJECTED, str(e)
-                    except Exception as e:  # one command's failure must not stop the log
-                        status, reason = ERROR, f"{type(e).__name__}: {e}"
-                    if status == ACCEPTED:
-                        balances[user] = after
-                        if many:
-                            seen.add(tx)
-                for column, v in zip(out, (seq, tx, user, amount, status, STATUS_CODE.get(status), reason, before, after)):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], list(names))
+                    at, scope = g, Scope(dedup.memory(), processor)
+                if kind == 2:
+                    status, *rest = scope.take(tx, user, amount, valid, many)
+                    out.append((codes[status], *rest))
+                elif kind == 0:
+                    scope.balances[user] = amount or 0
+                elif tx is not None and many:
+                    scope.seen.add(tx)
+            b = b.filter(pc.equal(b.column("kind"), 2))
+            code, *rest = [pa.array(v, k) for v, k in zip(zip(*out) if out else [()] * 5, kinds)]
+            reason, before, after, entity = rest
+            same = [b.column(c) for c in ("seq", "tx_id", "user_id", "amount")]
+            yield pa.RecordBatch.from_arrays([*same, texts.take(code), numbers.take(code), reason, before, after, entity], NAMES)
 
     return fold
 

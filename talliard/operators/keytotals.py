@@ -7,7 +7,7 @@ the reduce side merges compact states only. The narrow scan reads two columns. N
 Defined results
   * A null key is a group of its own; keys are compared character by character.
   * ``n_rows`` counts every row, ``n_values`` those with a value; sum, lowest and highest value are null if none has one.
-  * The sum is exact: it is carried as DECIMAL(38,0), which 10**19 of the largest values don't overflow.
+  * The sum is exact: it is carried as DECIMAL(38,0), which 10**19 of the largest values don't overflow (a sum of DECIMAL(28,0) is one).
   * An empty table gives no rows. Columns other than key and value aren't read, whatever their names.
 """
 
@@ -25,7 +25,7 @@ def key_totals(df: DataFrame, key: str, value: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count(v).alias("n_values"),
-            F.sum(v.cast("decimal(20,0)")).cast("decimal(38,0)").alias("total"),
+            F.sum(v.cast("decimal(28,0)")).alias("total"),
             F.min(v).alias("lowest"),
             F.max(v).alias("highest"),
         )

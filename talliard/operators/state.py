@@ -38,8 +38,8 @@ def total(state: DataFrame) -> DataFrame:
 
 
 def entities(journal: DataFrame) -> DataFrame:
-    """What the sink gets: the new absolute balance of every accepted command. ``version`` is never set."""
-    return journal.where(F.col("status") == ACCEPTED).select(
+    """What the sink gets: the new absolute balance of every accepted command that has an entity. ``version`` is never set."""
+    return journal.where("has_entity").select(
         "seq", "user_id", to_db("balance_after").alias("balance"), F.lit(None).cast("bigint").alias("version")
     )
 

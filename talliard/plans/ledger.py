@@ -343,7 +343,7 @@ def _fold(cmds: str, opening: str | None = None, dedup: bool = True, last: int |
       from f join c on c.user_id is not distinct from f.user_id and c.rn = f.rn + 1),
     journal as (select seq, tx_id, user_id, amount, status,
       cast(case status when 'ACCEPTED' then 200 when 'DUPLICATE' then 2001 end as integer) as code,
-      case when status = 'REJECTED' then 'INSUFFICIENT_BALANCE' end as reason, balance_before, balance_after,
+      case when status = 'REJECTED' then 'INSUFFICIENT_BALANCE' end as reason, balance_before, balance_after, status = 'ACCEPTED' as has_entity,
       {_to_db("balance_after")} as balance from f where rn > 0),
     final as (select user_id, arg_max(balance_after, rn) as balance_mem from f group by user_id)
     """
@@ -393,7 +393,7 @@ def _page_sql(cursor: int | None, backward: bool, where: str = "true") -> str:
              {more} as has_more, {prev} as has_prev"""
 
 
-_JOURNAL = "seq, tx_id, user_id, amount, status, code, reason, balance_before, balance_after, balance"
+_JOURNAL = "seq, tx_id, user_id, amount, status, code, reason, balance_before, balance_after, has_entity, balance"
 _HALF = "(select max(event_id) // 2 from events)"
 _FIRST_HALF = f"select * from ({_EVENTS}) where seq <= {_HALF}"
 

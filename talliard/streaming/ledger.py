@@ -1,79 +1,245 @@
 """The fold as a streaming query: the same decisions as ``operators.fold``, one micro-batch after the other.
 
-State of a user: the balance and the accepted identifiers, in the state store (RocksDB), committed with the query's offsets.
-Inside a micro-batch commands are taken in the order of ``seq``; across batches the order of arrival holds, as in the log.
+State of a scope (an account, or a log partition with its accounts): balances, what processors keep, and the accepted
+identifiers, in the state store (RocksDB), committed with the query's offsets. Inside a micro-batch commands are taken in the
+order of ``seq``; across batches the order of arrival holds, as in the log.
+
+Numbers travel as text between Spark and Python, because a column with a null in it would come as floating point and lose
+digits. The state is read once per micro-batch and written once: accounts one by one, exact identifiers by hashed groups of
+about ``PER_GROUP`` (their number doubles as identifiers come in), a filter by blocks, a bounded window as a whole.
+
+Defined results: as in ``operators.fold``; a command whose identifier is remembered for ``remember_ms`` only is a DUPLICATE
+until that time has passed since its acceptance. The state drops such identifiers when it next meets their group.
 """
 
 from __future__ import annotations
 
+import json
 import sys
+import time
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from talliard.codes import ACCEPTED, DUPLICATE, INVALID, REJECTED, STATUS_CODE
+from talliard.codes import STATUS_CODE
 from talliard.operators import fold
-from talliard.operators.fold import JOURNAL, Reject, wallet
+from talliard.operators.fold import JOURNAL, NAMES, Dedup, Processor, Scope, wallet
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Exact identifiers in a group of the state, on average at most; bytes in a block of a filter.
+PER_GROUP, BLOCK = 64, 1 << 14
+
+
+class _Exact:
+    """Accepted identifiers by hashed groups; a group is fetched when one of its identifiers is asked for."""
+
+    def __init__(self, state, size, remember_ms: int | None, now: int):
+        self.state, self.size, self.now = state, size, now
+        self.since = None if remember_ms is None else now - remember_ms
+        self.level, self.n = map(int, size.get()) if size.exists() else (0, 0)
+        self.groups: dict[int, dict[str, int]] = {}
+        self.changed: set[int] = set()
+
+    def _group(self, tx: str) -> int:
+        return zlib.crc32(tx.encode()) & ((1 << self.level) - 1)
+
+    def _held(self, value) -> dict[str, int]:
+        return {tx: int(at) for tx, at in zip(*value) if self.since is None or at >= self.since}
+
+    def _fetch(self, g: int) -> dict[str, int]:
+        if g not in self.groups:
+            self.groups[g] = self._held(self.state.getValue((g,))) if self.n and self.state.containsKey((g,)) else {}
+        return self.groups[g]
+
+    def __contains__(self, tx: str) -> bool:
+        return tx in self._fetch(self._group(tx))
+
+    def add(self, tx: str) -> None:
+        g = self._group(tx)
+        self._fetch(g)[tx] = self.now
+        self.changed.add(g)
+        self.n += 1
+
+    def store(self) -> None:
+        if self.n > PER_GROUP << self.level:
+            held = {g[0]: self._held(v) for g, v in self.state.iterator()} | self.groups
+            held = {tx: at for group in held.values() for tx, at in group.items()}
+            self.state.clear()
+            self.n = len(held)
+            while self.n > PER_GROUP << self.level:
+                self.level += 1
+            self.level += 1
+            self.groups = {}
+            for tx, at in held.items():
+                self.groups.setdefault(self._group(tx), {})[tx] = at
+            self.changed = set(self.groups)
+        for g in sorted(self.changed):
+            self.state.updateValue((g,), (list(self.groups[g]), list(self.groups[g].values())))
+        if self.changed:
+            self.size.update((self.level, self.n))
+
+
+class _Window(fold._Fifo):
+    """The last accepted identifiers, as a whole."""
+
+    def __init__(self, of: Dedup, state):
+        super().__init__(of)
+        self.state, self.before = state, None
+        if state.exists():
+            self.held.update(dict.fromkeys(state.get()[0]))
+        self.changed = False
+
+    def add(self, tx: str) -> None:
+        super().add(tx)
+        self.changed = True
+
+    def store(self) -> None:
+        if self.changed:
+            self.state.update((list(self.held),))
+
+
+class _Filter(fold._Bloom):
+    """The membership filter by blocks, fetched when a bit of theirs is asked for."""
+
+    def __init__(self, of: Dedup, state):
+        super().__init__(of, empty=False)
+        self.state, self.blocks, self.changed = state, {}, set()
+
+    def _block(self, b: int) -> bytearray:
+        if b not in self.blocks:
+            self.blocks[b] = bytearray(self.state.getValue((b,))[0]) if self.state.containsKey((b,)) else bytearray(BLOCK)
+        return self.blocks[b]
+
+    def __contains__(self, tx: str) -> bool:
+        return all(self._block(p >> 3 >> 14)[p >> 3 & BLOCK - 1] >> (p & 7) & 1 for p in self._places(tx))
+
+    def add(self, tx: str) -> None:
+        for p in self._places(tx):
+            self._block(p >> 3 >> 14)[p >> 3 & BLOCK - 1] |= 1 << (p & 7)
+            self.changed.add(p >> 3 >> 14)
+
+    def store(self) -> None:
+        for b in sorted(self.changed):
+            self.state.updateValue((b,), (bytes(self.blocks[b]),))
 
 
 class LedgerProcessor(StatefulProcessor):
-    """``remember_ms``: identifiers are forgotten so long after they were accepted; None keeps them for good."""
+    """``remember_ms``: exact identifiers are forgotten so long after they were accepted; None keeps them for good."""
 
-    def __init__(self, processor: Callable = wallet, remember_ms: int | None = None):
-        self.processor, self.remember_ms = processor, remember_ms
+    def __init__(self, processor: Processor = wallet, remember_ms: int | None = None, dedup: Dedup = Dedup()):
+        self.processor, self.remember_ms, self.dedup = processor, remember_ms, dedup
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.balance = handle.getValueState("balance", "amount BIGINT")
-        self.seen = handle.getMapState("seen", "tx STRING", "at BOOLEAN", self.remember_ms)
+        self.accounts = handle.getMapState("accounts", "user STRING", "balance BIGINT, own STRING")
+        kind = self.dedup.kind
+        if kind == "EXACT":
+            self.ids = handle.getMapState("ids", "at INT", "tx ARRAY<STRING>, since ARRAY<BIGINT>")
+            self.size = handle.getValueState("size", "level INT, n BIGINT")
+        elif kind == "FIFO":
+            self.ids = handle.getValueState("ids", "tx ARRAY<STRING>")
+        elif kind == "BLOOM":
+            self.ids = handle.getMapState("ids", "at INT", "bits BINARY")
+
+    def _memory(self):
+        now = int(time.time() * 1000)
+        if self.dedup.kind == "EXACT":
+            return _Exact(self.ids, self.size, self.remember_ms, now)
+        if self.dedup.kind == "FIFO":
+            return _Window(self.dedup, self.ids)
+        return _Filter(self.dedup, self.ids) if self.dedup.kind == "BLOOM" else self.dedup.memory()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Rows (user, balance, tx): an opening balance, or an identifier accepted before."""
+        memory = self._memory()
+        for user, balance, tx in _texts(initialState, "user", "balance", "tx"):
+            if tx is not None:
+                memory.add(tx)
+            elif balance is not None:
+                self.accounts.updateValue((user or "",), (int(balance), None))
+        if self.dedup.kind != "NONE":
+            memory.store()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        user = key[0]
-        user = None if pd.isna(user) else int(user)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "tx_id", "amount"], kind="stable")
-        balance = int(self.balance.get()[0]) if self.balance.exists() else 0
+        batch = [r for frame in rows for r in _texts(frame, "seq", "tx_id", "user", "amount")]
+        batch = [(s and int(s), tx, u and int(u), a and int(a)) for s, tx, u, a in batch]
+        some = lambda v, zero: (v is not None, zero if v is None else v)
+        batch.sort(key=lambda r: (some(r[0], 0), some(r[1], ""), some(r[3], 0)))
+        scope = Scope(self._memory(), self.processor)
+        users = {r[2] for r in batch}
+        for u in users:
+            name = ("" if u is None else str(u),)
+            if self.accounts.containsKey(name):
+                balance, own = self.accounts.getValue(name)
+                scope.balances[u] = int(balance)
+                if own is not None:
+                    scope.own[u] = json.loads(own)
+        before = dict(scope.balances)
         out = []
-        for seq, tx, amount in zip(batch["seq"], batch["tx_id"], batch["amount"]):
-            before, reason = balance, None
-            if tx is None or pd.isna(amount) or pd.isna(seq):
-                status = INVALID
-            elif self.seen.containsKey((tx,)):
-                status = DUPLICATE
-            else:
-                try:
-                    balance = self.processor(balance, int(amount), user, tx)
-                    status = ACCEPTED
-                    self.seen.updateValue((tx,), (True,))
-                except Reject as e:
-                    status, reason = REJECTED, str(e)
-            amount = None if pd.isna(amount) else int(amount)
-            out.append((None if pd.isna(seq) else int(seq), tx, user, amount, status, STATUS_CODE.get(status), reason, before, balance))
-        self.balance.update((balance,))
-        names = [c.split()[0] for c in JOURNAL.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("seq", "user_id", "amount", "code", "balance_before", "balance_after"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+        for seq, tx, user, amount in batch:
+            status, reason, was, now, entity = scope.take(tx, user, amount, None not in (seq, tx, amount), True)
+            out.append((seq, tx, user, amount, status, STATUS_CODE.get(status), reason, was, now, entity))
+        for u in users:
+            if u in scope.balances and (scope.keeps or scope.balances[u] != before.get(u)):
+                own = json.dumps(scope.own[u]) if u in scope.own else None
+                self.accounts.updateValue(("" if u is None else str(u),), (scope.balances[u], own))
+        if self.dedup.kind != "NONE":
+            scope.seen.store()
+        frame = {}
+        for name, column, kind in zip(NAMES, zip(*out), JOURNAL.split(", ")):
+            whole = kind.endswith(("BIGINT", "INT"))
+            frame[name] = pd.array(column, dtype="Int64") if whole else pd.Series(column, dtype=object)
+        yield pd.DataFrame(frame)
 
     def close(self) -> None:
         pass
 
 
-def streaming_journal(commands: DataFrame, processor: Callable = wallet, remember_ms: int | None = None) -> DataFrame:
-    """The journal of a stream of commands (seq, tx_id, user_id, amount)."""
+def _texts(frame: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    """Rows of text columns, with None for null."""
+    return zip(*([None if v is None or v is pd.NA or v != v else v for v in frame[n]] for n in names))
+
+
+def streaming_journal(
+    commands: DataFrame,
+    processor: Processor = wallet,
+    remember_ms: int | None = None,
+    opening: DataFrame | None = None,
+    accepted: DataFrame | None = None,
+    dedup: Dedup = Dedup(),
+    scope: str = "key",
+) -> DataFrame:
+    """The journal of a stream of commands (seq, tx_id, user_id, amount). ``opening``, ``accepted``, ``dedup`` and ``scope`` as in
+    ``operators.fold.journal``; they take effect when the query starts without a checkpoint."""
+    if dedup.kind == "BLOOM" and scope == "key":
+        raise ValueError("a filter for every user would not be small; use scope 'partition' or 'engine'")
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     # Spark starts this processor once beside the driver, without the files sent to Python workers: send it by value.
-    for module in (fold, sys.modules[__name__]):
-        cloudpickle.register_pickle_by_value(module)
-    return commands.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=LedgerProcessor(processor, remember_ms),
+    for module in {fold, sys.modules[__name__], sys.modules.get(getattr(processor, "__module__", None), fold)}:
+        if module.__name__ != "__main__":
+            cloudpickle.register_pickle_by_value(module)
+    by = {"key": F.col("user_id").cast("string"), "partition": F.col("partition").cast("string"), "engine": F.lit("engine")}[scope]
+    none = F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string")
+    rows = commands.select(by.alias("scope"), text("seq").alias("seq"), "tx_id", text("user_id").alias("user"), text("amount").alias("amount"))
+    start = None
+    if opening is not None:
+        same = ["partition"] if scope == "partition" else []
+        start = opening.groupBy("user_id", *same).agg(F.max("balance").alias("balance"))
+        start = start.select(by.alias("scope"), text("user_id").alias("user"), text("balance").alias("balance"), none.alias("tx"))
+    if accepted is not None:
+        known = accepted.where("tx_id IS NOT NULL").select(by.alias("scope"), text("user_id").alias("user"), none.alias("balance"), F.col("tx_id").alias("tx"))
+        start = known if start is None else start.unionByName(known)
+    return rows.groupBy("scope").transformWithStateInPandas(
+        statefulProcessor=LedgerProcessor(processor, remember_ms, dedup),
         outputStructType=JOURNAL,
         outputMode="append",
-        timeMode="None" if remember_ms is None else "ProcessingTime",
+        timeMode="None",
+        initialState=None if start is None else start.groupBy("scope"),
     )
 
 

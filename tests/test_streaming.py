@@ -2,7 +2,7 @@
 
 import pytest
 
-from talliard.operators.fold import journal
+from talliard.operators.fold import Dedup, Outcome, Reject, journal
 from talliard.operators.sink import RetryingWriter
 from talliard.sources.commands import COMMAND, from_events, with_retries
 from talliard.streaming.ledger import Metrics, SnapshotTrigger, start, streaming_journal
@@ -20,6 +20,94 @@ def outcome(df):
     return {r["seq"]: (r["status"], r["balance_after"]) for r in df.collect()}
 
 
+def streamed(spark, rows, schema=COMMAND, batches=1, **options):
+    """Journal rows of a stream of ``batches`` files."""
+    src, out = fresh_dir(spark, "t"), fresh_dir(spark, "t")
+    step = -(-len(rows) // batches)
+    for i in range(batches):
+        spark.createDataFrame(rows[i * step : (i + 1) * step], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = start(streaming_journal(stream, **options), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), f"{out}/c")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+def same(got, want):
+    names = [c for c in want.columns if c in got.columns]
+    key = lambda r: str(tuple(r))
+    assert sorted(got.select(names).collect(), key=key) == sorted(want.select(names).collect(), key=key)
+
+
+BIG = 2**53 + 1
+ODD = [
+    (1, "a", 1, BIG), (2, "b", 1, None), (None, "c", 1, 5), (3, None, 1, 5), (BIG, "d", BIG, BIG), (4, "e", None, 7), (5, "f", None, -9),
+    (6, "a", 1, BIG), (7, "", 1, -1), (8, "", 1, -1), (9, "é😀", BIG, -BIG), (9, "é😀", BIG, -BIG),
+]
+
+
+def test_nulls_and_large_numbers_keep_every_digit(spark):
+    same(streamed(spark, ODD), journal(spark.createDataFrame(ODD, COMMAND)))
+
+
+def processors():
+    """Defined inside, so that they travel by value."""
+
+    def moody(balance, amount, user, tx):
+        if amount == 13:
+            return 1 // 0
+        if amount == 17:
+            return None
+        if amount == 19:
+            return "much"
+        if balance + amount < 0:
+            raise Reject("no")
+        return balance + amount
+
+    def limited(balance, amount, user, tx, own):
+        """At most three commands an account; only every second one tells the sink."""
+        n = (own or {"n": 0})["n"] + 1
+        if n > 3:
+            raise Reject("enough")
+        return Outcome(balance + amount, {"n": n}, n % 2 == 0)
+
+    limited.keeps_state = True
+    return moody, limited
+
+
+def test_processors_of_ones_own(spark):
+    rows = [(i, f"t{i}", i % 2, a) for i, a in enumerate([5, 13, 17, 19, -3, -99, 4, 4, 2, 2])] + [(20, "t2", 0, 5), (21, "t1", 1, 5)]
+    for p in processors():
+        want = journal(spark.createDataFrame(rows, COMMAND), processor=p)
+        same(streamed(spark, rows, processor=p), want)
+        assert {r["status"] for r in want.collect()} >= ({"ERROR", "REJECTED", "DUPLICATE"} if p.__name__ == "moody" else {"REJECTED"})
+        assert want.where("status = 'ACCEPTED' AND NOT has_entity").count() > 0
+
+
+def test_opening_balances_and_earlier_identifiers(spark):
+    rows = [(1, "a", 1, -5), (2, "b", 2, -5), (3, "c", None, -5), (4, "d", 3, -1)]
+    opening = spark.createDataFrame([(1, 5), (1, 4), (2, 3), (None, 5), (9, None)], "user_id BIGINT, balance BIGINT")
+    accepted = spark.createDataFrame([(1, "a"), (None, "x"), (2, None)], "user_id BIGINT, tx_id STRING")
+    for known in (None, accepted):
+        want = journal(spark.createDataFrame(rows, COMMAND), opening, accepted=known)
+        same(streamed(spark, rows, opening=opening, accepted=known), want)
+
+
+@pytest.mark.parametrize("dedup", [Dedup("FIFO", 100), Dedup("BLOOM", 40, 0.2), Dedup("NONE"), Dedup()])
+def test_every_way_of_remembering_in_a_partition(spark, dedup):
+    schema = COMMAND + ", partition INT"
+    rows = [(i, f"t{i * 7 % 61}", i % 5, (-1) ** i * (i % 11), i % 2) for i in range(300)]
+    want = journal(spark.createDataFrame(rows, schema), dedup=dedup, scope="partition")
+    got = streamed(spark, rows, schema, 3, dedup=dedup, scope="partition")
+    same(got, want)
+    assert (got.where("status = 'DUPLICATE'").count() > 0) == (dedup.kind != "NONE")
+
+
+def test_identifiers_are_forgotten_after_a_while(spark):
+    rows = [(1, "a", 1, 5), (2, "a", 1, 5)]
+    assert sorted(r["status"] for r in streamed(spark, rows, batches=2, remember_ms=3_600_000).collect()) == ["ACCEPTED", "DUPLICATE"]
+    assert [r["status"] for r in streamed(spark, rows, batches=2, remember_ms=1).collect()] == ["ACCEPTED"] * 2
+
+
 def test_equals_batch_over_restarts(spark):
     rows = with_retries(from_events(spark, "/root/testdata/sf0.001").where("user_id < 6"))
     src, out = fresh_dir(spark, "t"), fresh_dir(spark, "t")
