@@ -1,13 +1,19 @@
 """Mixing sources to target weights (problem 7), by pivotal dependent rounding.
 
 The mixture is as large as all documents of the listed sources together. A source with T target tokens and A tokens at hand
-needs each document T / A times on average. If that is more often than a document may be used, every document is used as
-often as allowed, and the source is reported as short. Otherwise each document is used floor(T / A) times, and once more
-with the remaining probability p. These p are rounded by pairs: probability moves from one document of a pair to the other,
-in inverse proportion to their sizes, so that their expected tokens together stay what they were, until one of the two is
-certain; which way is drawn so that neither's expectation changes. Every partition does so by halving rounds over whole
-batches, leaves at most one undecided document per source, and those meet in a tree of fan-in ``FAN``. The last one of a
-source is drawn by its own probability, so a source misses its target by less than one document.
+needs each document T / A times on average, but no more often than a document may be used. Each document is used the whole
+part of that number of times, and once more with the remaining probability p. These p are rounded by pairs: probability moves
+from one document of a pair to the other, in inverse proportion to their sizes, so that their expected tokens together stay
+what they were, until one of the two is certain; which way is drawn so that neither's expectation changes. Every partition does
+so by halving rounds over whole batches, leaves at most one undecided document per source, and those meet in a tree of fan-in
+``FAN``. The last one is drawn by its own probability.
+
+That draw misses the target by a part of one document, which matters if the document is large. Hence documents are rounded in
+bands of size relative to their source's target, largest first, and what a band has missed is asked of the smaller documents
+that are still undecided: their T / A is computed anew from what the larger ones left. The last band holds documents of at
+most ``FINE`` of the target, so a source that has enough of them misses its target by no more than that share. Larger ones are
+few, unless a target is tiny beside its source: up to ``FEW`` of them are rounded source by source, doubling of size by doubling
+of size, each source in one task; more go band by band through the tree.
 
 Draws are hashes of the seed and the pair's ids, documents are placed and sorted by content first, and every level is written
 before it is read: the same documents give the same mixture, and a task that runs again after a loss can't decide differently.
@@ -17,6 +23,7 @@ Defined results
     no listed source, or without a source, take no part.
   * Targets that agree in name are one target: shares add up, the smallest max_uses holds. A null or negative share counts as
     0, a null max_uses as 1. Null names are ignored.
+  * A source is short if every one of its documents is used as often as allowed and its target isn't reached.
   * A document without tokens is used as often as its source's whole part demands. Repeated rows are documents of their own.
   * Empty tables give an empty mixture, and a report with a row for each target.
 """
@@ -31,17 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talliard.workspace import materialize
+from talliard.workspace import broadcast_if_small, materialize
 
 #: Undecided documents that meet in one task of the tree come from so many tasks.
 FAN = 64
-#: The targets are read to the driver and broadcast; more are refused.
-MOST_SOURCES = 10_000
+#: Largest documents of the last band, as a share of their source's target, and the ratio of one band to the next.
+FINE, STEP, BANDS = 0.004, 16, 4
+#: Documents above the last band that are rounded at a time without the tree: some tens of MB.
+FEW = 500_000
 _SCHEMA = "doc_id BIGINT, source STRING, tokens BIGINT, copies INT, p DOUBLE, node BIGINT"
-_REPORT = (
-    "source STRING, target_share DOUBLE, max_uses INT, n_docs BIGINT, tokens BIGINT, target_tokens DOUBLE, "
-    "reached_tokens BIGINT, reached_share DOUBLE, share_of_mixture DOUBLE, most_copies INT, short BOOLEAN"
-)
 
 
 def source_name(c: Column | str) -> Column:
@@ -81,8 +86,9 @@ def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int) -> np.nd
 
 
 def _round(batches, seed: int, final: bool):
-    """Decides the documents of a task but one per source; copies grow by the outcome. Undecided rows have a p."""
-    rest: dict[str, tuple] = {}
+    """Decides the documents of a task, sorted by source, but one per source; copies grow by the outcome. Undecided rows have a
+    p."""
+    rest: dict[str, tuple] = {}  # of the source at hand
     node = TaskContext.get().partitionId()
 
     def batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -101,6 +107,14 @@ def _round(batches, seed: int, final: bool):
         )
 
     names = ("doc_id", "null", "source", "tokens", "copies", "p")
+    def leave() -> pa.RecordBatch:
+        own = {c: np.array([r[m] for r in rest.values()], object if c == "source" else None) for m, c in enumerate(names)}
+        if final:
+            zero = np.zeros(len(own["p"]), np.int64)
+            own["p"] = (_draw(own["doc_id"], zero, seed - 1) < own["p"]).astype(float)
+        rest.clear()
+        return batch(own)
+
     for b in batches:
         ids = b.column("doc_id")
         rows = {
@@ -113,6 +127,8 @@ def _round(batches, seed: int, final: bool):
         }
         of, inverse = np.unique(rows["source"].astype(str), return_inverse=True)
         for k, source in enumerate(of):
+            if rest and source not in rest:
+                yield leave()
             at = np.flatnonzero(inverse == k)
             own = {c: rows[c][at] for c in names}
             if source in rest:
@@ -125,28 +141,57 @@ def _round(batches, seed: int, final: bool):
                 own = {c: np.delete(own[c], left[0]) for c in names}
             yield batch(own)
     if rest:
-        own = {c: np.array([r[m] for r in rest.values()], object if c == "source" else None) for m, c in enumerate(names)}
-        if final:
-            zero = np.zeros(len(own["p"]), np.int64)
-            own["p"] = (_draw(own["doc_id"], zero, seed - 1) < own["p"]).astype(float)
-        yield batch(own)
+        yield leave()
 
 
-def _targets(targets: DataFrame) -> list[dict]:
-    rows = (
-        targets.where("source IS NOT NULL")
-        .groupBy(source_name("source").alias("name"))
-        .agg(
-            F.min("source").alias("source"),
-            F.sum(F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("target_share"),
-            F.min(F.coalesce(F.col("max_uses").cast("int"), F.lit(1))).alias("max_uses"),
-        )
-        .limit(MOST_SOURCES + 1)
-        .collect()
+def _targets(targets: DataFrame) -> DataFrame:
+    """(name, source, target_share, max_uses), one row per name."""
+    share = F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return targets.where("source IS NOT NULL").groupBy(source_name("source").alias("name")).agg(
+        F.min("source").alias("source"),
+        F.sum(share).alias("target_share"),
+        F.greatest(F.min(F.coalesce(F.col("max_uses").cast("int"), F.lit(1))), F.lit(0)).alias("max_uses"),
     )
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    return [r.asDict() for r in rows]
+
+
+def _large(rows: pa.Table, seed: int) -> pa.Table:
+    """A source's documents above the last band with their copies, the largest first."""
+    ids, tokens = rows["doc_id"].fill_null(0).to_numpy(), rows["tokens"].to_numpy()
+    target, most, smaller = (rows[c][0].as_py() for c in ("target", "max_uses", "smaller"))
+    order = np.lexsort((ids, -tokens))
+    rows, ids, tokens = rows.take(pa.array(order)), ids[order], tokens[order]
+    copies, kind = np.zeros(len(ids)), np.floor(np.log2(tokens)).astype(int)
+    got, left = 0.0, float(tokens.sum() + smaller)
+    for k in np.unique(kind)[::-1]:
+        at = np.flatnonzero(kind == k)
+        each = min(max((target - got) / left, 0.0), float(most))
+        p = pivot(ids[at], tokens[at].astype(float), np.full(len(at), each - math.floor(each)), seed + 64 * int(k))
+        open_ = (p > 0) & (p < 1)
+        p[open_] = _draw(ids[at][open_], np.zeros(open_.sum(), np.int64), seed - 1 - int(k)) < p[open_]
+        copies[at] = math.floor(each) + p
+        got += float((tokens[at] * copies[at]).sum())
+        left -= float(tokens[at].sum())
+    return rows.select(["doc_id", "source", "tokens"]).append_column("copies", pa.array(copies.astype(np.int32)))
+
+
+def _rounded(open_: DataFrame, seed: int) -> list[DataFrame]:
+    """(doc_id, source, tokens, copies) of documents with 0 < p < 1, decided through the tree."""
+    spark = open_.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes, level, done = tasks, 0, []
+    order = ["source", "doc_id", "tokens", "p"]
+    # A placement by content, so that the same documents give the same mixture however the files lie.
+    placed = open_.repartition(tasks, "doc_id", "tokens")
+    while True:
+        shift, last = seed + 64 * level, nodes == 1
+        out = placed.sortWithinPartitions(*order).select("doc_id", "source", "tokens", "copies", "p")
+        out = materialize(out.mapInArrow(lambda it, s=shift, f=last: _round(it, s, f), _SCHEMA), f"mix-level{level}")
+        done.append(out.where("p IS NULL").select("doc_id", "source", "tokens", "copies"))
+        if last:
+            return done
+        # The sources' residuals meet apart from each other, so that no task gets those of all sources.
+        placed = out.where("p IS NOT NULL").repartition(tasks, "source", F.floor(F.col("node") / FAN ** (level + 1)))
+        nodes, level = math.ceil(nodes / FAN), level + 1
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -154,51 +199,68 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame,
     The mixture is (doc_id, source, tokens, copies), copies >= 1; the report has a row for each target: source, target_share,
     max_uses, n_docs, tokens at hand, target_tokens, reached_tokens, share of the intended and of the actual mixture,
     most_copies, and whether the source is short."""
-    spark = docs.sparkSession
-    wanted = _targets(targets)
-    known = spark.createDataFrame([(t["name"], t["source"]) for t in wanted], "name STRING, as_listed STRING")
+    wanted = materialize(_targets(targets), "mix-targets")
     rows = docs.select("doc_id", source_name("source").alias("name"), F.coalesce(F.col("tokens").cast("bigint"), F.lit(0)).alias("tokens"))
-    rows = rows.join(F.broadcast(known), "name").select("doc_id", F.col("as_listed").alias("source"), "tokens")
+    rows = rows.join(broadcast_if_small(wanted), "name").select("doc_id", "source", "tokens")
     rows = materialize(rows, "mix-input")
-    held = {r[0]: r for r in rows.groupBy("source").agg(F.sum("tokens"), F.count(F.lit(1))).collect()}  # one row per target
-    size = sum(r[1] for r in held.values())
-    plan, facts = [], []
-    for t in wanted:
-        _, at_hand, n = held.get(t["source"], (None, 0, 0))
-        target, most = t["target_share"] * size, max(0, t["max_uses"])
-        short = target > at_hand * most
-        each = most if short else (target / at_hand if at_hand else 0.0)
-        whole = min(most, math.floor(each))
-        plan.append((t["source"], whole, float(each - whole)))
-        facts.append((t["source"], t["target_share"], t["max_uses"], n, at_hand, target, short))
-    plan = spark.createDataFrame(plan, "source STRING, copies INT, p DOUBLE")
-    rows = rows.join(F.broadcast(plan), "source").select("doc_id", "source", "tokens", "copies", "p")
-    settled = (F.col("p") <= 0) | (F.col("tokens") <= 0)
-    done = [rows.where(settled).select("doc_id", "source", "tokens", "copies")]
-    nodes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A placement by content, so that the same documents give the same mixture however the files lie.
-    open_ = rows.where(~settled).repartition(nodes, "doc_id", "tokens").sortWithinPartitions("source", "doc_id", "tokens", "p")
-    level, final = 0, False
-    while not final:
-        final = nodes <= 1
-        if level:
-            open_ = open_.repartition(nodes, F.floor(F.col("node") / FAN)).sortWithinPartitions("source", "doc_id", "tokens", "p")
-        shift, last = seed * 1_000_003 + 64 * level, final
-        out = open_.select("doc_id", "source", "tokens", "copies", "p").mapInArrow(lambda it, s=shift, f=last: _round(it, s, f), _SCHEMA)
-        out = materialize(out, f"mix-level{level}")
-        done.append(out.where("p IS NULL").select("doc_id", "source", "tokens", "copies"))
-        open_ = out.where("p IS NOT NULL")
-        nodes, level = max(1, math.ceil(nodes / FAN)) if not final else 0, level + 1
-    mixture = done[0]
-    for d in done[1:]:
-        mixture = mixture.unionByName(d)
-    mixture = mixture.where("copies > 0")
-    reached = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")), F.max("copies"))
-    reached = {r[0]: (r[1], r[2]) for r in reached.collect()}  # one row per target
-    total = sum(got for got, _ in reached.values())
-    report = []
-    for source, share, uses, n, at_hand, target, short in facts:
-        got, most = reached.get(source, (0, 0))
-        shares = (got / size if size else 0.0, got / total if total else 0.0)
-        report.append((source, share, uses, n, at_hand, float(target), got, *shares, most, short))
-    return mixture, spark.createDataFrame(report, _REPORT)
+    size = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).head()[0]
+    plan = wanted.select("source", "target_share", "max_uses", (F.col("target_share") * float(size)).alias("target"))
+    steps = F.floor(F.log(F.col("tokens") / (FINE * F.col("target"))) / math.log(STEP)).cast("int") + 1
+    band = F.when((F.col("tokens") > 0) & (F.col("target") > 0), F.greatest(F.least(steps, F.lit(BANDS - 1)), F.lit(0))).otherwise(0)
+    rows = rows.join(broadcast_if_small(plan), "source").withColumn("band", band)
+    held = materialize(rows.groupBy("source", "band").agg(F.sum("tokens").alias("at_hand"), F.count(F.lit(1)).alias("n")), "mix-held")
+    counts = dict(map(tuple, held.groupBy("band").agg(F.sum("n")).collect()))  # at most BANDS rows
+    done: list[DataFrame] = []
+    if 0 < sum(n for b, n in counts.items() if b) <= FEW:
+        smaller = held.where("band = 0").select("source", F.col("at_hand").alias("smaller"))
+        large = rows.where("band > 0").select("doc_id", "source", "tokens").join(broadcast_if_small(plan.join(smaller, "source", "left")), "source")
+        large = large.select("doc_id", "source", "tokens", "target", "max_uses", F.coalesce("smaller", F.lit(0)).alias("smaller"))
+        shift = seed * 1_000_003 + 104_729
+        large = large.groupBy("source").applyInArrow(lambda t: _large(t, shift), "doc_id BIGINT, source STRING, tokens BIGINT, copies INT")
+        done.append(materialize(large, "mix-large"))
+        counts = {b: n for b, n in counts.items() if b == 0}
+    for b in sorted(counts, reverse=True):
+        # What the larger documents left, over the tokens of this band and the smaller ones.
+        left = held.where(F.col("band") <= b).groupBy("source").agg(F.sum("at_hand").alias("at_hand"))
+        had = None
+        for d in done:
+            had = d if had is None else had.unionByName(d)
+        if had is not None:
+            had = had.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got"))
+            left = left.join(had, "source", "left")
+        got = F.coalesce("got", F.lit(0)) if had is not None else F.lit(0)
+        each = plan.join(left, "source").select(
+            "source",
+            F.least(
+                F.greatest(F.when(F.col("at_hand") > 0, (F.col("target") - got) / F.col("at_hand")).otherwise(0.0), F.lit(0.0)),
+                F.col("max_uses").cast("double"),
+            ).alias("each"),
+        )
+        each = broadcast_if_small(materialize(each, "mix-each"))
+        now = rows.where(F.col("band") == b).select("doc_id", "source", "tokens").join(each, "source")
+        whole = F.floor("each").cast("int")
+        now = now.select("doc_id", "source", "tokens", whole.alias("copies"), (F.col("each") - whole).alias("p"))
+        settled = (F.col("p") <= 0) | (F.col("tokens") <= 0)
+        done.append(now.where(settled).select("doc_id", "source", "tokens", "copies"))
+        done += _rounded(now.where(~settled), seed * 1_000_003 + 7_919 * b)
+    everything = docs.sparkSession.createDataFrame([], "doc_id BIGINT, source STRING, tokens BIGINT, copies INT")
+    for d in done:
+        everything = everything.unionByName(d)
+    return everything.where("copies > 0"), _report(everything, plan, size)
+
+
+def _report(everything: DataFrame, plan: DataFrame, size: int) -> DataFrame:
+    reached = everything.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("at_hand"), F.sum(F.col("tokens") * F.col("copies")).alias("got"),
+        F.min("copies").alias("least"), F.max("copies").alias("most"),
+    )
+    zero = lambda c, kind="bigint": F.coalesce(F.col(c), F.lit(0)).cast(kind)
+    rows = materialize(plan.join(reached, "source", "left"), "mix-reached")
+    total = rows.agg(F.coalesce(F.sum("got"), F.lit(0))).head()[0]
+    share = lambda of: (zero("got") / F.lit(float(of)) if of else F.lit(0.0)).cast("double")
+    full = F.coalesce(F.col("least") >= F.col("max_uses"), F.lit(True))
+    return rows.select(
+        "source", "target_share", "max_uses", zero("n").alias("n_docs"), zero("at_hand").alias("tokens"), F.col("target").alias("target_tokens"),
+        zero("got").alias("reached_tokens"), share(size).alias("reached_share"), share(total).alias("share_of_mixture"),
+        zero("most", "int").alias("most_copies"), (full & (zero("got") < F.col("target"))).alias("short"),
+    )

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from talliard.llm import packing
+from talliard.llm import mixing, packing
 from talliard.llm.mixing import mix, pivot
 from talliard.llm.packing import Places, pack, pack_histogram, packing_report
 
@@ -130,3 +130,23 @@ def test_mix_of_nothing(spark):
     assert [tuple(r)[:3] for r in report.collect()] == [("A", 0.5, 1)]
     mixture, report = mix(docs, targets.limit(0))
     assert mixture.count() == 0 and report.count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_targets_are_met_beside_very_long_documents(spark, monkeypatch, few):
+    """One document as large as its source's target, and a few of a third of it; nothing is short."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rnd = random.Random(8)
+    rows = [(i, "a", rnd.randrange(100, 300), 0) for i in range(3000)] + [(None, "a", 0, 0)]
+    rows += [(5000, "a", 60_000, 0), *((6000 + i, "a", 20_000, 0) for i in range(5))]
+    rows += [(10_000 + i, "b", rnd.randrange(100, 300), 0) for i in range(3000)] + [(20_000, "c", 2**53 + 1 & 0xFFFF, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    size = sum(r[2] for r in rows)
+    targets = spark.createDataFrame([("a", 60_000 / size, 1), ("b", 0.2, 1), ("c", 0.7, 2)], TARGETS)
+    for seed in (0, 1, 2):
+        mixture, report = mix(df, targets, seed)
+        got = {r["source"]: r for r in report.collect()}
+        assert [got[s]["short"] for s in "abc"] == [False, False, True]
+        for s in "ab":
+            assert abs(got[s]["reached_tokens"] / got[s]["target_tokens"] - 1) < 0.01
+        assert sum(r["tokens"] * r["copies"] for r in mixture.where("source = 'a'").collect()) == got["a"]["reached_tokens"]
