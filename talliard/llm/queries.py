@@ -12,7 +12,7 @@ from talliard.llm.reading import profile, reading_levels
 from talliard.llm.seen import SeenKeys, error_report
 from talliard.llm.tokens import token_count
 from talliard.sources.tables import table
-from talliard.workspace import fresh_dir, materialize
+from talliard.workspace import fresh_dir, materialize, spread
 
 #: Share of rows that makes a routing key frequent, and counters kept: the error is at most a fifth of that share.
 SUPPORT, COUNTERS = 0.004, 1250
@@ -50,7 +50,7 @@ def p4_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return materialize(docs.select("doc_id", "source", token_count("text").alias("tokens")), "sizes")
 
 

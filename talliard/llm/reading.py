@@ -5,13 +5,15 @@
 2. Vocabulary: words are counted per language over all documents. A word's rank is the number of words of its language
    that are at least as frequent. A document's *coverage rank* is the size of the smallest such vocabulary that covers
    ``SHARE`` of its words.
-3. Sentence complexity: words per sentence and syllables per word, on the published Flesch-Kincaid grade scale. A file
-   without sentence marks has one sentence per cue.
-4. Calibration: a ridge regression, in SQL, of the readers' ratings (median per document) on the complexity grade and the
-   logarithm of the coverage rank. It starts from the published scale and moves off it only as far as ratings demand; one
-   refit without ratings that lie far off the first fit keeps single readers' slips out. Above ``TOP`` readers go on telling
-   documents apart, but in smaller steps than the published scale; there the grade rises with a slope of its own, fitted to
-   what the line below leaves over and never less than ``LEAST_STEEP``.
+3. Sentence complexity: words per sentence. A file without sentence marks has one sentence per cue.
+4. Calibration, in SQL, per language: the readers' ratings (median per document) against the logarithms of coverage rank and of
+   words per sentence. Ratings jump where a text leaves the common vocabulary, so the line has one break: the coverage rank at
+   which two groups of ratings, the upper one rated higher, differ least within themselves. On either side of it the grade
+   is a ridge regression on both measures, with slopes of at least ``LEAST``, so that more demanding documents get higher
+   grades everywhere. One refit without ratings that lie far off the first fit keeps single readers' slips out.
+
+A language with fewer than ``RATED`` rated documents uses the fit over all languages, in which both measures count in
+standard deviations from their language's mean.
 
 Frequent words (at least one in ``FREQUENT`` of all words, hence at most FREQUENT words) are sent to all executors, and a
 document whose share is covered by them is done there and then. For the rest, and only for their rare words, ranks are
@@ -20,14 +22,12 @@ joined by a shuffle; there no word is frequent enough to be a hot key.
 Defined results
   * No dialogue (null or '' text, adverts only): n_words 0, and null rank and grade. Null ids and repeated rows keep their rows.
   * Languages are compared by the first two letters without case and blanks; null and 'und' are one language.
-  * Without ratings (or none between 1 and 18) the grade is the published scale's. Extra columns aren't read.
+  * Without ratings (or none between 1 and 18) the grade is the published Flesch-Kincaid scale's at its average of 1.5 syllables
+    per word, so that it tells documents apart by sentences only. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
-import functools
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,18 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talliard.workspace import broadcast_if_small, materialize
+from talliard.workspace import broadcast_if_small, materialize, spread
 
 #: Share of a document's words that its vocabulary must cover.
 SHARE = 0.9
 #: A word is frequent if it is at least one in so many of all words.
 FREQUENT = 200_000
-#: School has twelve grades; what demands more rises with a slope of its own.
-TOP = 13.0
-#: Lowest slope above TOP: a more complex document always gets the higher grade, whatever the ratings say.
-LEAST_STEEP = 0.02
-#: Weight of the published scale, as the squared spread of the ratings that would balance it.
-PRIOR_MEAN, PRIOR_SLOPE, PRIOR_RANK, PRIOR_STEEP = 10.0, 160.0, 5.0, 10.0
+#: Rated documents that a language needs for a fit of its own, and those that either side of the break must have.
+RATED, SIDE = 20, 2
+#: Weights that draw the slopes of coverage rank and of sentence length to 0, and the least slope.
+PRIOR_RANK, PRIOR_LENGTH, LEAST = 1.0, 5.0, 0.05
 #: Ratings further than this from the first fit are left out of the second.
 FAR_OFF = 4.0
 
@@ -67,7 +65,6 @@ _SOUND = (
 )
 _LABEL = r"(?m)^[\s\-–—\"“”«‘']*+\p{L}[\p{L}'’. ]{0,24}+:\s"
 _WORD = r"\p{L}+(?:['’]\p{L}+)*"
-_VOWEL = "aeiouyàáâãäåæèéêëìíîïòóôõöùúûüœ"
 _CLOSE = r"(?=[\s\x1e\"”’»')\]]|$)"
 
 
@@ -95,16 +92,6 @@ def _repaired(text: Column) -> Column:
     return F.when(text.rlike("[ÃÂâÎΓ├┬][^a-zA-Z\\s]"), fixed).otherwise(text)
 
 
-_GROUPS = re.compile(f"[{_VOWEL}]+")
-
-
-@functools.lru_cache(1 << 17)
-def syllables(word: str) -> int:
-    """Groups of vowels, without a silent e at the end; at least one."""
-    n = len(_GROUPS.findall(word))
-    return max(1, n - (n > 1 and word[-1] == "e" and word[-2] not in _VOWEL + "l"))
-
-
 def language(c: Column | str) -> Column:
     return F.coalesce(F.nullif(F.substring(F.lower(F.trim(c)), 1, 2), F.lit("un")), F.lit("un"))
 
@@ -117,11 +104,11 @@ def spoken(docs: DataFrame) -> DataFrame:
     said = F.regexp_replace(said, _LABEL, " ")
     marks = F.regexp_count("said", F.lit(rf"[.!?…]+{_CLOSE}"))
     firm = F.regexp_count("said", F.lit(rf"[.!…]+{_CLOSE}"))
-    open_ = F.right("said", F.lit(400)).rlike(r"\p{L}[^.!?…\p{L}]*+$").cast("int")
+    open_ = F.col("said").rlike(r"\p{L}[^.!?…\p{L}]*+$").cast("int")
     cued = F.regexp_count("said", F.lit(r"(?:^|\x1e)[^\x1e\p{L}]*\p{L}"))
     n = F.size("words")
     table = (
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("lang").alias("tag"), language("lang").alias("lang"), said.alias("said"))
+        spread(docs.select("doc_id", "text", "lang")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("lang").alias("tag"), language("lang").alias("lang"), said.alias("said"))
         .withColumn("words", F.regexp_extract_all("said", F.lit(_WORD), F.lit(0)))
         .select(
             "row",
@@ -159,18 +146,14 @@ def _needed(n: Column) -> Column:
 
 
 def coverage(said: DataFrame, vocab: DataFrame) -> DataFrame:
-    """said with ``coverage_rank`` and ``n_syllables``, without the words."""
+    """said with ``coverage_rank``, without the words."""
     total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     known = _frequent(vocab, total)
     rare = 1 << 40
 
-    @F.arrow_udf("rank bigint, known bigint, syllables bigint")
+    @F.arrow_udf("rank bigint, known bigint")
     def covered(words: pa.Array, lang: pa.Array, needed: pa.Array) -> pa.Array:
         rank, frequent = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        coded = words.flatten().dictionary_encode()
-        spoken_ = np.array([0, *map(syllables, coded.dictionary.to_pylist())], np.int64)
-        spoken_ = np.append(0, np.cumsum(spoken_[coded.indices.to_numpy() + 1]))
-        ends = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)))
         for code in pc.unique(lang).to_pylist():
             at = np.flatnonzero(pc.equal(lang, code).to_numpy(zero_copy_only=False))
             own = words.take(pa.array(at))
@@ -185,12 +168,11 @@ def coverage(said: DataFrame, vocab: DataFrame) -> DataFrame:
             some = np.flatnonzero(size)
             rank[at[some]] = r[begin[some] + needed.take(pa.array(at[some])).to_numpy() - 1]
         rank = np.where(rank >= rare, -2, rank)
-        columns = [pa.array(rank), pa.array(frequent), pa.array(spoken_[ends[1:]] - spoken_[ends[:-1]])]
-        return pa.StructArray.from_arrays(columns, ["rank", "known", "syllables"])
+        return pa.StructArray.from_arrays([pa.array(rank), pa.array(frequent)], ["rank", "known"])
 
     first = materialize(
         said.withColumn("needed", _needed(F.col("n_words"))).withColumn("c", covered("words", "lang", "needed")).select(
-            "row", "doc_id", "tag", "lang", "n_words", "n_sentences", "needed", "c.rank", "c.known", F.col("c.syllables").alias("n_syllables"),
+            "row", "doc_id", "tag", "lang", "n_words", "n_sentences", "needed", "c.rank", "c.known",
         ),
         "coverage",
     )
@@ -212,65 +194,79 @@ def coverage(said: DataFrame, vocab: DataFrame) -> DataFrame:
     return done.unionByName(late)
 
 
-def complexity() -> Column:
-    """The published school-grade formula, of words per sentence and syllables per word."""
-    grade = 0.39 * F.col("n_words") / F.col("n_sentences") + 11.8 * F.col("n_syllables") / F.col("n_words") - 15.59
-    return F.when(F.col("n_words") > 0, grade)
+def _break(rated: DataFrame) -> DataFrame:
+    """(fit, edge): the value of x1 that parts the ratings of a fit best, null where nothing does. Ratings are added up per value
+    first, so that what is sorted in one place is bounded by the vocabulary."""
+    y = F.col("rating")
+    per = rated.groupBy("fit", "x1").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+    by = Window.partitionBy("fit")
+    upto, whole = by.orderBy("x1").rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = per.select("fit", "x1", F.lead("x1").over(by.orderBy("x1")).alias("next"), *[
+        F.sum(c).over(w).alias(c + k) for c in "nsq" for w, k in ((upto, "1"), (whole, "0"))
+    ])
+    per = per.select("*", *[(F.col(c + "0") - F.col(c + "1")).alias(c + "2") for c in "nsq"])
+    inner = F.col("q0") - F.col("s1") * F.col("s1") / F.col("n1") - F.col("s2") * F.col("s2") / F.col("n2")
+    fair = (F.col("n1") >= SIDE) & (F.col("n2") >= SIDE) & (F.col("s2") * F.col("n1") > F.col("s1") * F.col("n2"))
+    best = F.min(F.when(fair, F.struct(inner.alias("d"), "x1", "next"))).alias("b")
+    return per.groupBy("fit").agg(best).select("fit", ((F.col("b.x1") + F.col("b.next")) / 2).alias("edge"))
 
 
 def calibrate(rated: DataFrame) -> DataFrame:
-    """One row (base, m1, m2, b1, b2) from (rating, x1, x2), so that the grade is x1 + base + b1 * (x1 - m1) + b2 * (x2 - m2):
-    least squares for what the published scale x1 leaves over, with the priors' weights."""
-    y = F.col("rating") - F.col("x1")
-    n = F.count(F.lit(1))
-    sums = rated.agg(
-        n.alias("n"), *[F.coalesce(e, F.lit(0.0)).alias(k) for k, e in {
-            "my": F.avg(y), "m1": F.avg("x1"), "m2": F.avg("x2"),
-            "s11": F.var_pop("x1") * n, "s22": F.var_pop("x2") * n, "s12": F.covar_pop("x1", "x2") * n,
-            "s1y": F.covar_pop(F.col("x1"), y) * n, "s2y": F.covar_pop(F.col("x2"), y) * n,
-        }.items()]
+    """(fit, upper, edge, base, m1, m2, b1, b2) from (fit, rating, x1, x2): below or above ``edge`` the grade is
+    base + b1 * (x1 - m1) + b2 * (x2 - m2)."""
+    rows = rated.join(broadcast_if_small(_break(rated)), "fit").withColumn("upper", F.coalesce(F.col("x1") > F.col("edge"), F.lit(False)))
+    y, n = F.col("rating"), F.count(F.lit(1))
+    sums = rows.groupBy("fit", "upper").agg(
+        F.first("edge").alias("edge"), F.avg(y).alias("base"), F.avg("x1").alias("m1"), F.avg("x2").alias("m2"),
+        (F.var_pop("x1") * n).alias("s11"), (F.var_pop("x2") * n).alias("s22"), (F.covar_pop("x1", "x2") * n).alias("s12"),
+        (F.covar_pop(F.col("x1"), y) * n).alias("s1y"), (F.covar_pop(F.col("x2"), y) * n).alias("s2y"),
     )
-    a, b, c = F.col("s11") + PRIOR_SLOPE, F.col("s22") + PRIOR_RANK, F.col("s12")
+    a, b, c = F.col("s11") + PRIOR_RANK, F.col("s22") + PRIOR_LENGTH, F.col("s12")
     det = a * b - c * c
     return sums.select(
-        (F.col("my") * F.col("n") / (F.col("n") + PRIOR_MEAN)).alias("base"), "m1", "m2",
-        ((F.col("s1y") * b - F.col("s2y") * c) / det).alias("b1"),
-        ((F.col("s2y") * a - F.col("s1y") * c) / det).alias("b2"),
+        "fit", "upper", "edge", "base", "m1", "m2",
+        F.greatest((F.col("s1y") * b - F.col("s2y") * c) / det, F.lit(LEAST)).alias("b1"),
+        F.greatest((F.col("s2y") * a - F.col("s1y") * c) / det, F.lit(LEAST)).alias("b2"),
     )
 
 
-def _line(fit) -> Column:
-    x1, x2 = F.col("x1"), F.col("x2")
-    return x1 + fit["base"] + fit["b1"] * (x1 - fit["m1"]) + fit["b2"] * (x2 - fit["m2"])
-
-
-def _fitted(rated: DataFrame) -> Column:
-    """The grade as an expression of x1 (the published scale up to TOP), x2 and x3 (the rest above TOP), fitted to ``rated``."""
-    line = _line(calibrate(rated).head())
-    x3 = F.col("x3")
-    up, across = F.sum((F.col("rating") - line) * x3), F.sum(x3 * x3)
-    steep = (F.coalesce(up, F.lit(0.0)) + PRIOR_STEEP) / (F.coalesce(across, F.lit(0.0)) + PRIOR_STEEP)
-    return line + rated.agg(F.greatest(steep, F.lit(LEAST_STEEP))).head()[0] * x3
+def _graded(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """rows (fit, x1, x2) with ``line``, the grade of their fit; null where there is no fit."""
+    sides = F.map_from_entries(F.collect_list(F.struct("upper", F.struct("base", "m1", "m2", "b1", "b2"))))
+    fits = fits.groupBy("fit").agg(F.first("edge").alias("edge"), sides.alias("sides"))
+    side = F.element_at("sides", F.coalesce(F.col("x1") > F.col("edge"), F.lit(False)))
+    line = side["base"] + side["b1"] * (F.col("x1") - side["m1"]) + side["b2"] * (F.col("x2") - side["m2"])
+    return rows.join(broadcast_if_small(fits), "fit", "left").select(*rows.columns, line.alias("line"))
 
 
 def reading_levels(docs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, words_per_sentence, syllables_per_word, coverage_rank, grade) of each row of ``docs`` (doc_id,
-    text, lang). ``ratings``: doc_id, grade."""
+    """(doc_id, lang, n_words, words_per_sentence, coverage_rank, grade) of each row of ``docs`` (doc_id, text, lang).
+    ``ratings``: doc_id, grade."""
     said = spoken(docs)
     levels = coverage(said, materialize(vocabulary(said), "vocabulary"))
-    x = F.col("x")
-    levels = levels.withColumn("x", complexity()).withColumn("x1", F.when(x.isNotNull(), F.least(x, F.lit(TOP))))
-    levels = levels.withColumn("x2", F.log(F.col("coverage_rank"))).withColumn("x3", x - F.col("x1"))
+    per = F.when(F.col("n_words") > 0, F.col("n_words") / F.col("n_sentences"))
+    levels = levels.withColumn("per", per).withColumn("r1", F.log(F.col("coverage_rank"))).withColumn("r2", F.log("per"))
     levels = materialize(levels, "levels")
     median = ratings.where("grade BETWEEN 1 AND 18").groupBy("doc_id").agg(F.median("grade").alias("rating"))
-    known = levels.where("x1 IS NOT NULL AND x2 IS NOT NULL").select("doc_id", "x1", "x2", "x3").join(median, "doc_id")
-    known = materialize(known, "rated")
-    grade = _fitted(known.where(F.abs(F.col("rating") - _fitted(known)) <= FAR_OFF))
-    return levels.select(
-        "doc_id", F.col("tag").alias("lang"), "n_words",
-        F.when(F.col("n_words") > 0, F.col("n_words") / F.col("n_sentences")).alias("words_per_sentence"),
-        F.when(F.col("n_words") > 0, F.col("n_syllables") / F.col("n_words")).alias("syllables_per_word"),
-        "coverage_rank", grade.alias("grade"),
+    rated = materialize(levels.where("r1 IS NOT NULL").select("doc_id", "lang", "r1", "r2").join(median, "doc_id"), "rated")
+    own = rated.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RATED).select("lang", F.lit(True).alias("own"))
+    usual = levels.groupBy("lang").agg(*[f(c).alias(f"{k}{c}") for c in ("r1", "r2") for k, f in (("m", F.avg), ("d", F.stddev_pop))])
+    usual = materialize(usual.join(own, "lang", "left"), "languages")
+    z = [F.when(F.col(f"d{c}") > 0, (F.col(c) - F.col(f"m{c}")) / F.col(f"d{c}")).when(F.col(c).isNotNull(), F.lit(0.0)) for c in ("r1", "r2")]
+    pooled = rated.join(broadcast_if_small(usual), "lang").select(F.lit("*").alias("fit"), "rating", z[0].alias("x1"), z[1].alias("x2"))
+    single = rated.join(broadcast_if_small(own), "lang").select(F.col("lang").alias("fit"), "rating", F.col("r1").alias("x1"), F.col("r2").alias("x2"))
+    known = materialize(pooled.unionByName(single), "known")
+    near = _graded(known, calibrate(known)).where(F.abs(F.col("rating") - F.col("line")) <= FAR_OFF).drop("line")
+    fits = materialize(calibrate(materialize(near, "near")), "fits")
+    alone = F.coalesce("own", F.lit(False))
+    rows = levels.join(broadcast_if_small(usual), "lang").select(
+        "doc_id", "tag", "n_words", "per", "coverage_rank", F.when(alone, F.col("lang")).otherwise("*").alias("fit"),
+        F.when(alone, F.col("r1")).otherwise(z[0]).alias("x1"), F.when(alone, F.col("r2")).otherwise(z[1]).alias("x2"),
+    )
+    published = 0.39 * F.col("per") + 11.8 * 1.5 - 15.59
+    return _graded(rows, fits).select(
+        "doc_id", F.col("tag").alias("lang"), "n_words", F.col("per").alias("words_per_sentence"), "coverage_rank",
+        F.coalesce("line", published).alias("grade"),
     )
 
 
