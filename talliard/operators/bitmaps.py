@@ -6,7 +6,7 @@ A set is a table of chunks of 2**12 numbers, 64 words of 64 bits each. Its size
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talliard.workspace import materialize
@@ -30,21 +30,39 @@ def _bit(value: Column) -> Column:
 
 
 class Bits:
-    """The set of ``value`` (bigint) for every combination of the columns ``lead``; nulls aren't in it."""
+    """The set of ``value`` (bigint) for every combination of the columns ``lead``; nulls aren't in it. With ``mask``, a word's
+    bits are those of all masks whose value falls into it, and a value is in the set if all bits of its mask are."""
 
-    def __init__(self, df: DataFrame, value: Column, lead: list[str] | None = None, name: str = "bits"):
+    def __init__(self, df: DataFrame, value: Column, lead: list[str] | None = None, name: str = "bits", mask: Column | None = None):
         self.lead = lead or []
-        rows = df.select(*self.lead, value.alias("__t_v")).where("__t_v IS NOT NULL")
+        bits = _bit(F.col("__t_v")) if mask is None else F.col("__t_mask")
+        own = [] if mask is None else [mask.alias("__t_mask")]
+        rows = df.select(*self.lead, value.alias("__t_v"), *own).where("__t_v IS NOT NULL")
         v = F.col("__t_v")
-        words = rows.groupBy(*self.lead, _chunk(v).alias("__t_chunk"), _word(v).alias("__t_w")).agg(F.bit_or(_bit(v)).alias("__t_b"))
+        words = rows.groupBy(*self.lead, _chunk(v).alias("__t_chunk"), _word(v).alias("__t_w")).agg(F.bit_or(bits).alias("__t_b"))
         held = F.map_from_entries(F.collect_list(F.struct("__t_w", "__t_b")))
         dense = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda i: F.coalesce(F.element_at("__t_m", i), F.lit(0).cast("bigint")))
         table = words.groupBy(*self.lead, "__t_chunk").agg(held.alias("__t_m")).select(*self.lead, "__t_chunk", dense.alias("__t_bits"))
-        self.table = materialize(table, name)
-        self.chunks = self.table.count()
+        self._set(materialize(table, name))
+
+    def _set(self, table: DataFrame, chunks: int | None = None) -> None:
+        self.table, self.chunks = table, table.count() if chunks is None else chunks
         self.small = self.chunks <= MOST_CHUNKS
 
-    def split(self, rows: DataFrame, value: Column, spread: Column | None = None) -> DataFrame:
+    def save(self, path: str) -> int:
+        """Keeps the set at ``path``; how many chunks it has."""
+        self.table.write.parquet(path)
+        return self.chunks
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, chunks: int) -> "Bits":
+        """A set without leading columns, as it was saved."""
+        out = cls.__new__(cls)
+        out.lead = []
+        out._set(spark.read.schema("__t_chunk BIGINT, __t_bits ARRAY<BIGINT>").parquet(path), chunks)
+        return out
+
+    def split(self, rows: DataFrame, value: Column, spread: Column | None = None, mask: Column | None = None) -> DataFrame:
         """rows with ``__t_in``: whether their value is in the set. ``spread`` (bigint) places rows whose value is null, if
         the rows must move."""
         if not self.chunks:
@@ -54,7 +72,8 @@ class Bits:
             chunk = F.coalesce(chunk, F.lit(-(1 << 50)) - F.pmod(spread, F.lit(4096)))
         keyed = rows.withColumn("__t_chunk", chunk)
         table = F.broadcast(self.table) if self.small else self.table
-        hit = F.get("__t_bits", _word(value)).bitwiseAND(_bit(value)) != 0
+        bits = _bit(value) if mask is None else mask
+        hit = F.get("__t_bits", _word(value)).bitwiseAND(bits) == bits
         joined = keyed.join(table, [*self.lead, "__t_chunk"], "left")
         return joined.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("__t_in"))
 
