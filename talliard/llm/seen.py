@@ -1,13 +1,14 @@
 """Has this key been seen before? Filter, then verify (problem 4).
 
 ``SeenKeys`` keeps all earlier keys on disk, hashed into sorted buckets, beside a membership filter: one 64-bit word for
-every four keys, in which each key sets up to six bits. Filter and keys are bucketed tables, so a probe shuffles its own rows
-to them and leaves them where they are.
+every four keys, in which each key sets up to six bits. Keys and filter are kept in segments, one for each admitted batch;
+segments of like length merge, so there are few of them.
 
 A probe takes a batch in the order of its order column. First occurrences are found by a partially aggregated minimum.
-Their hashes meet the filter: a missing bit proves the key new, at once. The others (the positives) go to the bucket that
-has their key in full, which decides. Each positive that is disproved there is logged; their share among all keys that are
-really new is the filter's measured rate of wrong answers. Nothing is held in memory beyond one bucket's sort buffers.
+Their hashes meet the filters where they are: a filter of up to 48 MB (some 25 million keys) is sent to all executors, a larger
+one meets the hashes, and only them, in a shuffle by chunk of the filter. A missing bit proves the key new, at once. Only the
+others (the positives) are shuffled, to the bucket that has their key in full, which decides. Each positive that is disproved
+there is logged; their share among all keys that are really new is the filter's measured rate of wrong answers.
 
 Defined results
   * null and '' are no keys: such rows are never seen (``how`` 'no key').
@@ -24,8 +25,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talliard.operators.bitmaps import Bits
 from talliard.sources.tables import is_id
-from talliard.workspace import VersionLog
+from talliard.workspace import Bucketed, VersionLog, materialize
 
 #: Bits a key sets in its word, and keys per word on average: 16 bits a key.
 PROBES, PER_WORD = 6, 4
@@ -38,54 +40,45 @@ def _mask(key: str) -> Column:
 
 
 class SeenKeys:
-    """Earlier keys, in segments below ``path``; each admitted batch is one segment."""
+    """Earlier keys, in segments below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.log = VersionLog(spark, f"{path}/_versions")
 
-    def _buckets(self) -> int:
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def _save(self, df: DataFrame, by: str, at: str, buckets: int) -> str:
-        name = f"talliard_{uuid.uuid4().hex}"
-        writer = df.write.format("parquet").option("path", f"{self.path}/{at}").option("compression", "zstd")
-        writer.bucketBy(buckets, by).sortBy(by).saveAsTable(name)
-        return name
-
-    def _table(self, segment: dict, kind: str, ddl: str, by: str) -> DataFrame:
-        """The bucketed table; a session that doesn't know it yet learns it from the manifest."""
-        name = segment[kind]
-        if not self.spark.catalog.tableExists(name):
-            self.spark.sql(
-                f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
-                f"INTO {segment['buckets']} BUCKETS LOCATION '{self.path}/{segment['at']}/{kind}'"
-            )
-        return self.spark.table(name)
+    def _keys(self, tables: Bucketed, segment: dict) -> DataFrame:
+        return tables.open("key STRING", "key", f"{self.path}/{segment['at']}/keys", segment["buckets"])
 
     def admit(self, df: DataFrame, key: str) -> None:
         """Adds the keys of df; publishes keys and filter together."""
         number, state = self.log.current()
-        buckets, at = self._buckets(), f"s{number + 1:06d}-{uuid.uuid4().hex[:8]}"
-        keys = df.where(is_id(F.col(key))).select(F.col(key).cast("string").alias("key")).distinct()
-        segment = {"at": at, "buckets": buckets, "keys": self._save(keys, "key", f"{at}/keys", buckets)}
-        keys = self.spark.table(segment["keys"])
-        segment["words"] = max(1, -(-keys.count() // PER_WORD))
-        words = keys.select(F.pmod(F.xxhash64("key"), F.lit(segment["words"])).alias("word"), _mask("key").alias("mask"))
-        words = words.groupBy("word").agg(F.bit_or("mask").alias("bits"))
-        segment["filter"] = self._save(words, "word", f"{at}/filter", buckets)
-        self.log.publish(number + 1, {"segments": state.get("segments", []) + [segment]})
+        buckets, at = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"s{number + 1:06d}-{uuid.uuid4().hex[:8]}"
+        kept = list(state.get("segments", []))
+        with Bucketed(self.spark) as tables:
+            keys = df.where(is_id(F.col(key))).select(F.col(key).cast("string").alias("key")).distinct()
+            keys = tables.save(keys, "key", f"{self.path}/{at}/keys", buckets)
+            n, merge = keys.count(), []
+            while kept and kept[-1]["rows"] < 2 * (n + sum(s["rows"] for s in merge)):
+                merge.append(kept.pop())
+            if merge:
+                for s in merge:
+                    keys = keys.unionByName(self._keys(tables, s))
+                at += "-merged"
+                keys = tables.save(keys.distinct(), "key", f"{self.path}/{at}/keys", buckets)
+                n = keys.count()
+            words = max(1, -(-n // PER_WORD))
+            filter_ = Bits(keys.select("key"), _place(words), mask=_mask("key"), name="filter")
+            chunks = filter_.save(f"{self.path}/{at}/filter")
+        segment = {"at": at, "buckets": buckets, "rows": n, "words": words, "chunks": chunks}
+        self.log.publish(number + 1, {"segments": [*kept, segment]})
 
     def probe(self, batch: DataFrame, key: str, order: str) -> DataFrame:
         """(order, key, seen, how) of each row of the batch. ``how``: 'filter' (proved new at once), 'disproved' (positive,
         but new), 'verified' (found in full), 'repeat' (a smaller order value in the batch has the key), 'no key', 'no order'."""
         rows = batch.select(F.col(order).alias("o"), F.col(key).cast("string").alias("key"))
         firsts = rows.where(is_id(F.col("key")) & F.col("o").isNotNull()).groupBy("key").agg(F.min("o").alias("o"))
-        at = f"{self.path}/probes/{uuid.uuid4().hex}"
-        self._decide(firsts).write.parquet(at)
-        decided = self.spark.read.schema("o BIGINT, how STRING").parquet(at)
         # Joined on the unique order value: a key that fills the batch is no hot key here.
-        out = rows.join(decided.withColumnRenamed("how", "found"), "o", "left")
+        out = rows.join(self._decided(firsts).withColumnRenamed("how", "found"), "o", "left")
         how = (
             F.when(~is_id(F.col("key")), "no key")
             .when(F.col("o").isNull(), "no order")
@@ -94,29 +87,34 @@ class SeenKeys:
         seen = F.when(how == "no order", F.lit(None)).otherwise(how.isin("verified", "repeat"))
         return out.select(F.col("o").alias(order), F.col("key").alias(key), seen.alias("seen"), how.alias("how"))
 
-    def _decide(self, firsts: DataFrame) -> DataFrame:
-        """(o, how) of first occurrences: segment by segment, what one can't find goes on to the next."""
-        left = firsts.withColumn("how", F.lit("filter"))
-        done = []
-        for s in self.log.current()[1].get("segments", []):
-            asked = left.withColumn("word", F.pmod(F.xxhash64("key"), F.lit(s["words"]))).withColumn("mask", _mask("key"))
-            words = self._table(s, "filter", "word BIGINT, bits BIGINT", "word")
-            keys = self._table(s, "keys", "key STRING", "key").withColumn("held", F.lit(True))
-            tested = asked.join(words, "word", "left")
-            passed = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-            at = f"{self.path}/probes/{uuid.uuid4().hex}"
-            tested.select("key", "o", "how", passed.alias("positive")).write.partitionBy("positive").parquet(at)
-            tested = self.spark.read.schema("key STRING, o BIGINT, how STRING, positive BOOLEAN").parquet(at)
-            looked = tested.where("positive").join(keys, "key", "left")
-            at = f"{self.path}/probes/{uuid.uuid4().hex}"
-            looked.select("key", "o", F.coalesce("held", F.lit(False)).alias("held")).write.partitionBy("held").parquet(at)
-            looked = self.spark.read.schema("key STRING, o BIGINT, held BOOLEAN").parquet(at)
-            done.append(looked.where("held").select("o", F.lit("verified").alias("how")))
-            missed = looked.where("NOT held").select("key", "o", F.lit("disproved").alias("how"))
-            left = tested.where("NOT positive").select("key", "o", "how").unionByName(missed)
-        for d in done:
-            left = left.select("o", "how").unionByName(d)
-        return left.select("o", "how")
+    def _decided(self, firsts: DataFrame) -> DataFrame:
+        """(o, how) of first occurrences."""
+        segments = self.log.current()[1].get("segments", [])
+        tested, passed = firsts, []
+        for i, s in enumerate(segments):
+            filter_ = Bits.stored(self.spark, f"{self.path}/{s['at']}/filter", s["chunks"])
+            tested = filter_.split(tested, _place(s["words"]), mask=_mask("key")).withColumnRenamed("__t_in", f"in{i}")
+            passed.append(F.col(f"in{i}"))
+        at = f"{self.path}/probes/{uuid.uuid4().hex}"
+        any_ = F.greatest(F.lit(False), F.lit(False), *passed)
+        tested.withColumn("positive", any_).write.partitionBy("positive").parquet(at)
+        ins = "".join(f", in{i} BOOLEAN" for i in range(len(segments)))
+        tested = self.spark.read.schema(f"key STRING, o BIGINT{ins}, positive BOOLEAN").parquet(at)
+        positive = tested.where("positive")
+        found = self.spark.createDataFrame([], "o BIGINT")
+        with Bucketed(self.spark) as tables:
+            for i, s in enumerate(segments):
+                asked = positive.where(F.col(f"in{i}")).select("key", "o")
+                found = found.unionByName(asked.join(self._keys(tables, s), "key", "left_semi").select("o"))
+            found = materialize(found.distinct(), "verified")
+        how = F.when(F.col("held"), "verified").otherwise("disproved")
+        checked = positive.join(found.withColumn("held", F.lit(True)), "o", "left").select("o", how.alias("how"))
+        return tested.where("NOT positive").select("o", F.lit("filter").alias("how")).unionByName(checked)
+
+
+def _place(words: int) -> Column:
+    """The key's word, as the number of its first bit."""
+    return F.pmod(F.xxhash64("key"), F.lit(words)) * 64
 
 
 def error_report(probed: DataFrame) -> DataFrame:
