@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talliard.codes import ACCEPTED
 from talliard.functions.money import to_db
+from talliard.workspace import materialize
 
 
 def balances(journal: DataFrame, opening: DataFrame | None = None) -> DataFrame:
@@ -58,6 +59,7 @@ def read_view(entity: DataFrame) -> DataFrame:
 
 def reconciliation(journal: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """One row: opening total, accepted amounts, final total, and their difference, which is 0 if nothing was lost."""
+    journal = materialize(journal, "journal")  # used twice below
     wide = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)")
     final = balances(journal, opening).agg(wide("balance_mem").alias("v")).select(F.lit("f").alias("k"), "v")
     moved = journal.where(F.col("status") == ACCEPTED).agg(wide("amount").alias("v")).select(F.lit("m").alias("k"), "v")

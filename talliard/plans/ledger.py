@@ -115,7 +115,7 @@ def wal_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page(**options):
-    return lambda spark, sf_dir: wal.page(_wal(spark, sf_dir).scan(partition=1), PAGE, **options)
+    return lambda spark, sf_dir: wal.page_of(_wal(spark, sf_dir), 1, PAGE, **options)
 
 
 # ---- the fold
@@ -225,9 +225,8 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bench_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A million generated credits for 16 users by 50 threads, reconciled by user."""
     rows = journal(commands.generated(spark, 1_000_000, 16, 50), fast=True)
-    return state.balances(rows).join(
-        rows.groupBy("user_id").agg(F.count(F.when(F.col("status") == ACCEPTED, 1)).alias("accepted")), "user_id"
-    )
+    accepted = F.count(F.when(F.col("status") == ACCEPTED, 1)).alias("accepted")
+    return rows.groupBy("user_id").agg(F.max_by("balance_after", "seq").alias("balance_mem"), accepted)
 
 
 # ---- snapshots

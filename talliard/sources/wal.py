@@ -18,6 +18,16 @@ from talliard.workspace import VersionLog, broadcast_if_small
 RECORD = "wal_index BIGINT, seq BIGINT, tx_id STRING, user_id BIGINT, amount BIGINT, partition INT"
 
 
+def with_content(records: DataFrame) -> DataFrame:
+    """records without empty ones: no tx_id, user_id and amount."""
+    return records.where("tx_id IS NOT NULL OR user_id IS NOT NULL OR amount IS NOT NULL")
+
+
+def empty_records(records: DataFrame) -> DataFrame:
+    """One row: how many records have no content."""
+    return records.agg(F.count(F.when(F.expr("tx_id IS NULL AND user_id IS NULL AND amount IS NULL"), 1)).alias("n_empty"))
+
+
 def indexed(commands: DataFrame, base: int = 0) -> DataFrame:
     """commands (with ``partition`` and ``seq``) with ``wal_index``, consecutive from ``base`` in each partition."""
     return number(commands, ["partition"], ["seq"], "wal_index", first=base)
@@ -41,6 +51,9 @@ class Wal:
         ends = self.spark.read.schema(RECORD).parquet(at).groupBy("partition").agg(F.max("wal_index") + 1).collect()  # one per log
         self.log.publish(version + 1, {"segments": [*state.get("segments", []), at], "next": {**following, **dict(map(tuple, ends))}})
 
+    def exists(self) -> bool:
+        return self.log.current()[0] > 0
+
     def scan(self, start: int | None = None, partition: int | None = None) -> DataFrame:
         """All records from position ``start`` on (inclusive); partition and position reach the files as filters."""
         segments = self.log.current()[1].get("segments", [])
@@ -90,7 +103,7 @@ def page(
     ahead = records
     if start is not None:
         ahead = records.where(F.col("wal_index") <= start if backward else F.col("wal_index") >= start)
-    matches = ahead.where("tx_id IS NOT NULL OR user_id IS NOT NULL OR amount IS NOT NULL")
+    matches = with_content(ahead)
     if routing_key is not None:
         same = F.col("user_id").isNull() if routing_key == "null" else F.col("user_id").cast("string") == routing_key
         matches = matches.where(same)
@@ -119,6 +132,13 @@ def page(
     )
 
 
+def page_of(log: Wal, partition: int, size: int, **options) -> DataFrame:
+    """``page`` of a stored log; a log that doesn't exist raises FileNotFoundError."""
+    if not log.exists():
+        raise FileNotFoundError(f"there is no log at {log.path}")
+    return page(log.scan(partition=partition), size, **options)
+
+
 def view(records: DataFrame) -> DataFrame:
     """Every record as text beside its position, as a viewer lists them."""
     return records.select("partition", "wal_index", F.to_json(F.struct("tx_id", "amount", "user_id")).alias("record"))
