@@ -104,7 +104,8 @@ def spoken(docs: DataFrame) -> DataFrame:
     said = F.regexp_replace(said, _LABEL, " ")
     marks = F.regexp_count("said", F.lit(rf"[.!?…]+{_CLOSE}"))
     firm = F.regexp_count("said", F.lit(rf"[.!…]+{_CLOSE}"))
-    open_ = F.col("said").rlike(r"\p{L}[^.!?…\p{L}]*+$").cast("int")
+    # Backwards, so that only what stands behind the last letter is looked at.
+    open_ = F.reverse("said").rlike(r"^[^.!?…\p{L}]*+\p{L}").cast("int")
     cued = F.regexp_count("said", F.lit(r"(?:^|\x1e)[^\x1e\p{L}]*\p{L}"))
     n = F.size("words")
     table = (
