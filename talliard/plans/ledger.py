@@ -9,7 +9,7 @@ from talliard.codes import ACCEPTED, REJECTED
 from talliard.functions.money import format_mem, to_db, to_mem
 from talliard.functions.routing import modulo, odd_even, rendezvous, rendezvous_md5, route, routing_key, salted
 from talliard.operators import sink, snapshot, state
-from talliard.operators.fold import Dedup, journal, misrouted
+from talliard.operators.fold import Dedup, Outcome, journal, misrouted, wallet
 from talliard.sources import commands, wal
 from talliard.sources.tables import table
 from talliard.workspace import fresh_dir, materialize
@@ -267,19 +267,61 @@ def recover_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.recover(_wal(spark, sf_dir).scan(), store)[1]
 
 
-def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event commands as a stream, run until all of it is taken."""
+def _streamed(spark: SparkSession, sf_dir: str, name: str, to_commands, **options) -> DataFrame:
+    """A table's commands as a stream, run until all of it is taken."""
     from talliard.streaming.ledger import start, streaming_journal
 
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        source = spark.readStream.schema(schema).parquet(path)
+    else:
+        source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     out = fresh_dir(spark, "stream")
-    rows = streaming_journal(commands.event_commands(events))
+    rows = streaming_journal(to_commands(source), **options)
     query = start(rows, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), f"{out}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("seq", "tx_id", "user_id", "amount", "status", "balance_after")
 
 
+def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "events", commands.event_commands)
+
+
+def stream_journal_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From opening balances on."""
+    return _streamed(spark, sf_dir, "events", commands.event_commands, opening=commands.opening_balances(spark, sf_dir))
+
+
+def stream_journal_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivered log, with null and very large amounts, null users and null identifiers."""
+    return _streamed(spark, sf_dir, "wal", lambda w: w.select(F.col("delivery_id").alias("seq"), "tx_id", "user_id", "amount"))
+
+
+def fold_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal(commands.from_wal(spark, sf_dir)).select("seq", "tx_id", "user_id", "amount", "status", "balance_after")
+
+
+def entities_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A processor that tells the sink of debits only; credits are accepted and remembered without an entity."""
+
+    def quiet(balance: int, amount: int, user: int | None, tx: str) -> Outcome:
+        return Outcome(wallet(balance, amount, user, tx), entity=amount < 0)
+
+    return state.entities(_retry(spark, sf_dir, processor=quiet))
+
+
+def cluster_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated load of 10,000 credits for 16 users over three nodes: credits by user and node."""
+    rows = commands.generated_for_cluster(spark, 10_000, 16, NODES)
+    return rows.groupBy("user_id", "node").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tx_id").alias("n_tx"))
+
+
+def snapshot_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.view(_cut(spark, sf_dir)[1])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -288,7 +330,8 @@ QUERIES = {
         fold_journal, fold_fast, fold_balances, fold_with_initial_state, fold_credit_negative_start, fold_rejections, dedup_exact,
         dedup_retry_after_reject, dedup_fifo, dedup_fifo_engine, dedup_bloom, dedup_none, status_summary, entities, entities_latest, read_view, sink_batches,
         state_lookup, state_total, reconciliation, bench_credits, snapshot_cut, snapshot_positions, snapshot_boundaries, snapshot_dump,
-        recover_from_snapshot, recover_cold, stream_journal,
+        recover_from_snapshot, recover_cold, stream_journal, stream_journal_opening, stream_journal_dirty, fold_dirty, entities_suppressed,
+        cluster_load, snapshot_view,
     )
 }
 QUERIES |= {
@@ -321,13 +364,17 @@ _OPENING = f"select c_custkey as user_id, {_mem('c_acctbal')} as balance from cu
 
 
 def _fold(cmds: str, opening: str | None = None, dedup: bool = True, last: int | None = None) -> str:
-    """CTEs up to ``journal``: an account at a time, one command per step of the recursion."""
+    """CTEs up to ``journal``: an account at a time, one command per step of the recursion. Only identifiers that occur again are
+    remembered, unless just the ``last`` ones are."""
     start = "coalesce(o.balance, 0)" if opening else "0"
     join = f"left join ({opening}) o on o.user_id is not distinct from u.user_id" if opening else ""
+    bad = "c.tx_id is null or c.amount is null"
     seen = "list_contains(f.seen, c.tx_id)" if dedup else "false"
+    lacks = "c.amount < 0 and f.balance_after + c.amount < 0"
     cut = f"[-{last}:]" if last else ""
+    kept = "" if last else "or not c.many"
     return f"""with recursive cmds as ({cmds}),
-    c as (select *, row_number() over (partition by user_id order by seq) as rn from cmds),
+    c as (select *, row_number() over (partition by user_id order by seq) as rn, count(*) over (partition by user_id, tx_id) > 1 as many from cmds),
     f as (
       select u.user_id, cast(0 as bigint) as rn, cast(null as bigint) as seq, cast(null as varchar) as tx_id, cast(null as bigint) as amount,
              cast(null as varchar) as status, cast(0 as bigint) as balance_before, cast({start} as bigint) as balance_after,
@@ -335,13 +382,13 @@ def _fold(cmds: str, opening: str | None = None, dedup: bool = True, last: int |
       from (select distinct user_id from cmds) u {join}
       union all
       select c.user_id, c.rn, c.seq, c.tx_id, c.amount,
-             case when {seen} then 'DUPLICATE' when c.amount < 0 and f.balance_after + c.amount < 0 then 'REJECTED' else 'ACCEPTED' end,
+             case when {bad} then 'INVALID' when {seen} then 'DUPLICATE' when {lacks} then 'REJECTED' else 'ACCEPTED' end,
              f.balance_after,
-             case when {seen} or (c.amount < 0 and f.balance_after + c.amount < 0) then f.balance_after else f.balance_after + c.amount end,
-             case when {seen} or (c.amount < 0 and f.balance_after + c.amount < 0) then f.seen else list_append(f.seen, c.tx_id){cut} end
+             case when {bad} or {seen} or ({lacks}) then f.balance_after else f.balance_after + c.amount end,
+             case when {bad} or {seen} or ({lacks}) {kept} then f.seen else list_append(f.seen, c.tx_id){cut} end
       from f join c on c.user_id is not distinct from f.user_id and c.rn = f.rn + 1),
     journal as (select seq, tx_id, user_id, amount, status,
-      cast(case status when 'ACCEPTED' then 200 when 'DUPLICATE' then 2001 end as integer) as code,
+      cast(case status when 'ACCEPTED' then 200 when 'DUPLICATE' then 2001 when 'INVALID' then 4001 end as integer) as code,
       case when status = 'REJECTED' then 'INSUFFICIENT_BALANCE' end as reason, balance_before, balance_after, status = 'ACCEPTED' as has_entity,
       {_to_db("balance_after")} as balance from f where rn > 0),
     final as (select user_id, arg_max(balance_after, rn) as balance_mem from f group by user_id)
@@ -467,5 +514,12 @@ SQL = {
       from final group by user_id % 64""",
     "recover_from_snapshot": f"{_fold(_EVENTS)} select user_id, balance_mem from final",
     "recover_cold": f"{_fold(_EVENTS)} select user_id, balance_mem from final",
+    "stream_journal_opening": f"{_fold(_EVENTS, _OPENING)} select seq, tx_id, user_id, amount, status, balance_after from journal",
+    "entities_suppressed": f"""{_fold(_RETRY)} select seq, user_id, balance, cast(null as bigint) as version from journal
+      where status = 'ACCEPTED' and amount < 0""",
+    "cluster_load": f"""select i % 16 as user_id, {_hrw("cast(i % 16 as varchar)", NODES)} as node, count(*) as n, count(*) as n_tx
+      from range(10000) t(i) group by 1, 2""",
+    "snapshot_view": f"""{_fold(_FIRST_HALF)} select partition, max(wal_index) as last_wal_index, (select count(*) from final) as n_accounts,
+      (select count(*) from journal where status = 'ACCEPTED') as n_accepted, 'EXACT' as dedup from {_WAL} where seq <= {_HALF} group by partition""",
     "stream_journal": f"{_fold(_EVENTS)} select seq, tx_id, user_id, amount, status, balance_after from journal",
 }

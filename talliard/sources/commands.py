@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talliard.functions.money import to_mem
+from talliard.functions.routing import Strategy, rendezvous_md5, routing_key
 from talliard.sources.tables import table
+from talliard.workspace import spread
 
 COMMAND = "seq BIGINT, tx_id STRING, user_id BIGINT, amount BIGINT"
 
@@ -36,7 +38,7 @@ def with_retries(commands: DataFrame) -> DataFrame:
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as commands of their customer; returned ones debit three times their price. Identifiers repeat."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     order = (
         "l_shipdate l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus"
     ).split()
@@ -56,6 +58,11 @@ def opening_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), _units("c_acctbal").alias("balance"))
 
 
+def from_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivered log as it is, in the order of arrival, with its nulls and very large amounts."""
+    return table(spark, sf_dir, "wal").select(F.col("delivery_id").alias("seq"), "tx_id", "user_id", "amount")
+
+
 def generated(spark: SparkSession, count: int, users: int, threads: int = 1) -> DataFrame:
     """Credits of 1.0000: id in [0, count) for user id % users, each thread a run of ids, the last one also what is left."""
     thread = F.least(F.floor(F.col("id") / max(1, count // threads)), F.lit(threads - 1))
@@ -68,3 +75,8 @@ def generated(spark: SparkSession, count: int, users: int, threads: int = 1) ->
     )
 
 
+def generated_for_cluster(spark: SparkSession, count: int, users: int, nodes: int, seed: int = 0, how: Strategy = rendezvous_md5) -> DataFrame:
+    """Credits with an identifier of 32 random hexadecimal digits (random by seed) and the ``node`` that owns their user."""
+    tx = F.md5(F.concat(F.lit(f"{seed}:"), F.col("seq").cast("string")))
+    rows = generated(spark, count, users).drop("thread").withColumn("tx_id", tx)
+    return rows.withColumn("node", how(routing_key("user_id"), nodes))

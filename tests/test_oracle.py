@@ -1,6 +1,8 @@
 """Every query of the core against its SQL, over the whole small tables."""
 
-import importlib.util
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -31,5 +33,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_llm_is_optional():
-    assert importlib.util.find_spec("talliard") is not None
+def test_llm_is_optional(tmp_path):
+    """Without both folders the rest imports, and lists its own queries only."""
+    root = Path(__file__).resolve().parents[1]
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "repo", ignore=skip)
+    code = "import sys, __spark_entry__ as e; n = e.queries(); assert 'p1_found' in n and 'p3_found' not in n; print(len(n), 'talliard.llm' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(sum(len(m.QUERIES) for m in entry._MODULES)), "False"]
