@@ -35,8 +35,15 @@ class LedgerConfig:
         """LRU in any case is the bounded window; anything else the membership filter, which here is exact."""
         return "LRU" if self.idempotency.strip().upper() == "LRU" else "BLOOM"
 
+    def files_per_trigger(self) -> int:
+        """Files of the log that may be under way at once: as many as ``queue_size`` commands come in, at ``batch_size`` a file."""
+        return max(1, self.queue_size // max(1, self.batch_size))
+
+    def node_dir(self) -> str:
+        return f"{self.base_dir.rstrip('/')}/{self.engine_name}/node-{self.node_id}"
+
     def partition_name(self, index: int) -> str:
         return f"{self.engine_name}-p{index}"
 
     def partition_dir(self, index: int) -> str:
-        return f"{self.base_dir.rstrip('/')}/{self.engine_name}/node-{self.node_id}/{self.partition_name(index)}"
+        return f"{self.node_dir()}/{self.partition_name(index)}"

@@ -34,15 +34,16 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.log = spark, path, VersionLog(spark, f"{path}/_versions")
 
-    def save(self, positions: DataFrame, state: DataFrame, accepted: DataFrame) -> None:
-        """Writes a new generation and makes it current by one rename; a failed save leaves the old one in place."""
+    def save(self, positions: DataFrame, state: DataFrame, accepted: DataFrame, **notes) -> None:
+        """Writes a new generation and makes it current by one rename, with ``notes`` in its manifest; a failed save leaves the
+        old one in place."""
         version = self.log.current()[0] + 1
         at = f"{self.path}/g{version:010d}-{uuid.uuid4().hex[:8]}"
         positions.select("partition", "last_wal_index").write.parquet(f"{at}/positions")
         state.select("user_id", "balance_mem").write.parquet(f"{at}/state")
         accepted.select("user_id", "tx_id").write.parquet(f"{at}/accepted")
         saved = [self.spark.read.schema(s).parquet(f"{at}/{n}") for n, s in (("positions", POSITIONS), ("state", STATE), ("accepted", ACCEPTED_IDS))]
-        self.log.publish(version, {"at": at, "sums": _sums(saved)})
+        self.log.publish(version, notes | {"at": at, "sums": _sums(saved)})
 
     def load(self, corrupt_is_cold: bool = False) -> tuple[DataFrame, DataFrame, DataFrame] | None:
         """(positions, state, accepted) of the newest snapshot, or None before the first. One that can't be read raises

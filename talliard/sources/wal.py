@@ -46,17 +46,32 @@ class Wal:
             starts = self.spark.createDataFrame(list(following.items()), "partition INT, start BIGINT")
             rows = rows.join(broadcast_if_small(starts), "partition", "left")
             rows = rows.withColumn("wal_index", F.col("wal_index") + F.coalesce("start", F.lit(0))).drop("start")
-        at = f"{self.path}/segments/segment={version + 1:010d}-{uuid.uuid4().hex[:8]}"
-        rows.select("wal_index", "seq", "tx_id", "user_id", "amount", "partition").write.partitionBy("partition").parquet(at)
-        ends = self.spark.read.schema(RECORD).parquet(at).groupBy("partition").agg(F.max("wal_index") + 1).collect()  # one per log
+        name = f"segment={version + 1:010d}-{uuid.uuid4().hex[:8]}"
+        at, staged = f"{self.path}/segments/{name}", f"{self.path}/staging/{name}"
+        self._settle(state)
+        rows.select("wal_index", "seq", "tx_id", "user_id", "amount", "partition").write.partitionBy("partition").parquet(staged)
+        ends = self.spark.read.schema(RECORD).parquet(staged).groupBy("partition").agg(F.max("wal_index") + 1).collect()  # one per log
         self.log.publish(version + 1, {"segments": [*state.get("segments", []), at], "next": {**following, **dict(map(tuple, ends))}})
+        self._settle(self.log.current()[1])
+
+    def _settle(self, state: dict) -> None:
+        """Moves the published last segment to where streams look for it; an append that died in between is completed here, and
+        one that died before publishing never gets there."""
+        for at in state.get("segments", [])[-1:]:
+            final, staged = (self.log._fs.Path(at.replace("/segments/", f"/{k}/")) for k in ("segments", "staging"))
+            fs = final.getFileSystem(self.log._conf)
+            if not fs.exists(final) and fs.exists(staged):
+                fs.mkdirs(final.getParent())
+                fs.rename(staged, final)
 
     def exists(self) -> bool:
         return self.log.current()[0] > 0
 
     def scan(self, start: int | None = None, partition: int | None = None) -> DataFrame:
         """All records from position ``start`` on (inclusive); partition and position reach the files as filters."""
-        segments = self.log.current()[1].get("segments", [])
+        state = self.log.current()[1]
+        self._settle(state)
+        segments = state.get("segments", [])
         if segments:
             reader = self.spark.read.schema(RECORD).option("basePath", f"{self.path}/segments")
             rows = reader.parquet(*segments).select(*self.spark.createDataFrame([], RECORD).columns)

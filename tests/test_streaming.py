@@ -1,10 +1,16 @@
 """The streaming fold equals the batch fold, over several micro-batches, restarts and failing sinks."""
 
+from datetime import timedelta
+
 import pytest
+from pyspark.sql import functions as F
 
+from talliard.config import LedgerConfig
 from talliard.operators.fold import Dedup, Outcome, Reject, journal
 from talliard.operators.sink import RetryingWriter
+from talliard.operators.state import balances
 from talliard.sources.commands import COMMAND, from_events, with_retries
+from talliard.streaming.engine import LedgerEngine
 from talliard.streaming.ledger import Metrics, SnapshotTrigger, start, streaming_journal
 from talliard.workspace import fresh_dir
 
@@ -154,3 +160,28 @@ def test_snapshot_trigger():
     assert t.due(1) and t.due(0)
     t.committed()
     assert not t.due(0)
+
+
+def test_engine_from_a_configuration(spark):
+    """Submit, fold, sink, snapshots by count, shut-down; a second engine goes on from the snapshot without the checkpoint."""
+    config = LedgerConfig(base_dir=fresh_dir(spark, "t"), partitions=2, total_nodes=2, routing="MODULO", snapshot_interval=10, heartbeat=timedelta(seconds=1))
+    rows = [(i, f"t{i % 37}", 2 * (i % 4) + (i == 11), 10 if i % 3 else -7) for i in range(60)]
+    opening = spark.createDataFrame([(0, 5), (8, 3)], "user_id BIGINT, balance BIGINT")
+    got = []
+    engine = LedgerEngine(spark, config, lambda df, i: got.extend(df.collect()), opening=opening)
+    away = engine.submit(spark.createDataFrame(rows[:40], COMMAND))
+    assert [(r["seq"], r["status"]) for r in away.collect()] == [(11, "MISROUTED")]
+    engine.start()
+    engine.shut_down()
+    assert engine.snapshots.log.current()[0] >= 1
+    second = LedgerEngine(spark, config, lambda df, i: got.extend(df.collect()), opening=opening)
+    second.wal.log.delete(f"{second.base}/checkpoint"), second.wal.log.delete(f"{second.base}/journal")
+    second.snapshots.save(*second.snapshots.load())  # the lost journal's batches don't count any more
+    second.submit(spark.createDataFrame(rows[40:], COMMAND))
+    second.start()
+    second.shut_down()
+    here = spark.createDataFrame([r for r in rows if r[0] != 11], COMMAND)
+    want = journal(here.withColumn("partition", F.lit(0)), opening.withColumn("partition", F.lit(0)), scope="partition")
+    final = {tuple(r) for r in balances(want, opening).collect()}
+    assert {tuple(r) for r in second.snapshots.load()[1].collect()} == final
+    assert len(got) == want.where("has_entity").count()
