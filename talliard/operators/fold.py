@@ -126,10 +126,11 @@ def wallet(balance: int, amount: int, user: int | None, tx: str) -> int:
 
 
 class Scope:
-    """The state of one scope while its commands are taken in order; batch and stream decide by it."""
+    """The state of one scope while its commands are taken in order; batch and stream decide by it. ``by_user``: it stands for
+    many scopes, one for each user; the memory then gets identifiers with the user before them."""
 
-    def __init__(self, memory, processor: Processor):
-        self.seen, self.processor, self.standard = memory, processor, processor is wallet
+    def __init__(self, memory, processor: Processor, by_user: bool = False):
+        self.seen, self.processor, self.standard, self.by_user = memory, processor, processor is wallet, by_user
         self.keeps = getattr(processor, "keeps_state", False)
         self.balances: dict = {}
         self.own: dict = {}
@@ -140,7 +141,8 @@ class Scope:
         before = self.balances.get(user, 0)
         if not valid:
             return INVALID, None, before, before, False
-        if many and tx in self.seen:
+        known = identifier(user, tx) if self.by_user else tx
+        if many and known in self.seen:
             return DUPLICATE, None, before, before, False
         after, entity = before, True
         if self.standard:
@@ -164,10 +166,15 @@ class Scope:
                 return ERROR, f"{type(e).__name__}: {e}", before, before, False
         self.balances[user] = after
         if many:
-            self.seen.add(tx)
+            self.seen.add(known)
         return ACCEPTED, None, before, after, entity
 
 
+def identifier(user: int | str | None, tx: str) -> str:
+    """An identifier with its user before it; a user, a number or null, has no colon."""
+    return f"{user}:{tx}"
+
+
 def _money(balance) -> int:
     """A processor's balance as units; what isn't one is the processor's error."""
     if isinstance(balance, bool) or int(balance) != balance or not -(2**63) <= balance < 2**63:
@@ -253,35 +260,37 @@ def _without_rejections(rows: DataFrame, order: list[str]) -> tuple[DataFrame, D
 _STATUSES = (ACCEPTED, REJECTED, DUPLICATE, INVALID, ERROR)
 
 
-def _folder(group: str | None, dedup: Dedup, processor: Processor):
+def plain(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist() if not column.null_count else column.to_pylist()
+
+
+def answered(commands: list[pa.Array], out: list[tuple]) -> pa.RecordBatch:
+    """JOURNAL rows of commands (seq, tx_id, user_id, amount) and what ``Scope.take`` said of each."""
     codes = {s: i for i, s in enumerate(_STATUSES)}
     texts, numbers = pa.array(_STATUSES, pa.string()), pa.array([STATUS_CODE.get(s) for s in _STATUSES], pa.int32())
-    kinds = (pa.int8(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    status, *rest = zip(*out) if out else [()] * 5
+    code = pa.array([codes[s] for s in status], pa.int8())
+    return pa.RecordBatch.from_arrays([*commands, texts.take(code), numbers.take(code), *map(pa.array, rest, kinds)], NAMES)
 
-    def plain(b, c: str) -> list:
-        column = b.column(c)
-        return column.to_numpy(zero_copy_only=False).tolist() if not column.null_count else column.to_pylist()
 
+def _folder(group: str | None, dedup: Dedup, processor: Processor):
     def fold(batches):
         at, scope = object(), None
         for b in batches:
-            columns = [plain(b, c) for c in ("kind", "tx_id", "user_id", "amount", "valid", "many")]
+            columns = [plain(b.column(c)) for c in ("kind", "tx_id", "user_id", "amount", "valid", "many")]
             out = []
-            for g, kind, tx, user, amount, valid, many in zip(plain(b, group) if group else [None] * b.num_rows, *columns):
+            for g, kind, tx, user, amount, valid, many in zip(plain(b.column(group)) if group else [None] * b.num_rows, *columns):
                 if g != at:
                     at, scope = g, Scope(dedup.memory(), processor)
                 if kind == 2:
-                    status, *rest = scope.take(tx, user, amount, valid, many)
-                    out.append((codes[status], *rest))
+                    out.append(scope.take(tx, user, amount, valid, many))
                 elif kind == 0:
                     scope.balances[user] = amount or 0
                 elif tx is not None and many:
                     scope.seen.add(tx)
             b = b.filter(pc.equal(b.column("kind"), 2))
-            code, *rest = [pa.array(v, k) for v, k in zip(zip(*out) if out else [()] * 5, kinds)]
-            reason, before, after, entity = rest
-            same = [b.column(c) for c in ("seq", "tx_id", "user_id", "amount")]
-            yield pa.RecordBatch.from_arrays([*same, texts.take(code), numbers.take(code), reason, before, after, entity], NAMES)
+            yield answered([b.column(c) for c in ("seq", "tx_id", "user_id", "amount")], out)
 
     return fold
 

@@ -1,8 +1,12 @@
 """The streaming fold equals the batch fold, over several micro-batches, restarts and failing sinks."""
 
+import os
+import subprocess
+import sys
 from datetime import timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from talliard.config import LedgerConfig
@@ -11,7 +15,7 @@ from talliard.operators.sink import RetryingWriter
 from talliard.operators.state import balances
 from talliard.sources.commands import COMMAND, from_events, with_retries
 from talliard.streaming.engine import LedgerEngine
-from talliard.streaming.ledger import Metrics, SnapshotTrigger, start, streaming_journal
+from talliard.streaming.ledger import LedgerProcessor, Metrics, SnapshotTrigger, start, streaming_journal
 from talliard.workspace import fresh_dir
 
 
@@ -108,6 +112,40 @@ def test_every_way_of_remembering_in_a_partition(spark, dedup):
     assert (got.where("status = 'DUPLICATE'").count() > 0) == (dedup.kind != "NONE")
 
 
+@pytest.mark.parametrize("dedup", [Dedup("FIFO", 5), Dedup("NONE"), Dedup()])
+def test_users_of_one_group_are_scopes_of_their_own(spark, dedup, monkeypatch):
+    """The same identifiers for each user, more than a page of the state holds."""
+    monkeypatch.setattr("talliard.streaming.ledger.BUCKETS", 1)
+    rows = [(i, f"t:{i * 7 % 97}", (None, -1, 1, 11)[i % 4], (-1) ** (i // 4) * (i % 11)) for i in range(600)]
+    opening = spark.createDataFrame([(-1, 5), (None, 7)], "user_id BIGINT, balance BIGINT")
+    accepted = spark.createDataFrame([(1, "t:7"), (None, "t:0")], "user_id BIGINT, tx_id STRING")
+    want = journal(spark.createDataFrame(rows, COMMAND), opening, dedup, accepted=accepted)
+    same(streamed(spark, rows, batches=3, dedup=dedup, opening=opening, accepted=accepted), want)
+
+
+def test_small_accounts_have_no_state_of_their_own(spark):
+    """Each entry of the state costs calls between Spark and Python; a log of many small accounts would be nothing but calls."""
+    users = 12_000
+    rows = [(i, f"t{i % 7}", i % users, (5, -3, -9)[i // users]) for i in range(3 * users)]
+    src, out = fresh_dir(spark, "t"), fresh_dir(spark, "t")
+    for part in (rows[:users], rows[users:]):
+        spark.createDataFrame(part, COMMAND).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(COMMAND).option("maxFilesPerTrigger", 1).parquet(src)
+    q = start(streaming_journal(stream), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), f"{out}/c")
+    q.awaitTermination()
+    same(spark.read.parquet(f"{out}/rows").drop("batch"), journal(spark.createDataFrame(rows, COMMAND)))
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < users
+
+
+def test_the_processor_travels_without_the_package(spark, tmp_path):
+    """Beside the driver Spark unpickles it in a process that may not have the package."""
+    streaming_journal(spark.readStream.schema(COMMAND).parquet(str(tmp_path)))
+    load = "import pickle, sys; pickle.load(sys.stdin.buffer)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(LedgerProcessor()), cwd=tmp_path, env=env, capture_output=True)
+    assert run.returncode == 0, run.stderr.decode()
+
+
 def test_identifiers_are_forgotten_after_a_while(spark):
     rows = [(1, "a", 1, 5), (2, "a", 1, 5)]
     assert sorted(r["status"] for r in streamed(spark, rows, batches=2, remember_ms=3_600_000).collect()) == ["ACCEPTED", "DUPLICATE"]
